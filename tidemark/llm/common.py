@@ -77,3 +77,32 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def pack_columns(*columns: np.ndarray) -> bytes:
+    """Arrays of one length as their byte planes, one after another."""
+    return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)
+
+
+def unpack_columns(raw: bytes, kinds: tuple) -> list[np.ndarray]:
+    kinds = [np.dtype(k) for k in kinds]
+    n = len(raw) // sum(k.itemsize for k in kinds)
+    out, at = [], 0
+    for k in kinds:
+        planes = np.frombuffer(raw, np.uint8, n * k.itemsize, at).reshape(k.itemsize, n)
+        out.append(np.ascontiguousarray(planes.T).view(k).ravel())
+        at += n * k.itemsize
+    return out
+
+
+def concat_columns(blobs: list[bytes], kinds: tuple) -> list[np.ndarray]:
+    """The rows of several packed blobs, column by column."""
+    parts = [unpack_columns(b, kinds) for b in blobs]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, k) for i, k in enumerate(kinds)]
+
+
+def split_by(labels: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Each label with the places that have it."""
+    order = np.argsort(labels, kind="stable")
+    cuts = np.flatnonzero(np.concatenate(([True], labels[order][1:] != labels[order][:-1]))) if len(labels) else np.zeros(0, int)
+    return [(int(labels[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(labels)])]

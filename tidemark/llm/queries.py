@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat_format, media, mixing, packing, quality, url_filter
+from . import chat_format, media, mixing, packing, quality, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation whose texts try to close their turn.
@@ -13,6 +13,10 @@ SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS te
 UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"""
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.sql(CONTROL_ROWS))
