@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat_format, media, mixing, packing, quality, suffix_dedup, url_filter
+from . import chat_format, lm_score, media, mixing, packing, quality, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation whose texts try to close their turn.
@@ -27,6 +28,11 @@ def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = lm_score.score(table(spark, sf_dir, "documents"))
+    return x.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score", "seen_share")])
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -48,7 +54,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op7_mixing": OP7_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_mixing": OP7_SQL}
 
 
 _ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '\0'), '</s>', '\1'), '[INST]', '\2'), '[/INST]', '\3')"
@@ -91,3 +97,20 @@ y AS (SELECT x.*, coalesce(quota, 0)::BIGINT AS quota, shard_size::BIGINT AS sha
 SELECT doc_id, size, source_size, target,
   least(3 * size, (quota // shard_size) * size + greatest(0, least(size, quota - (quota // shard_size) * shard_size - before)))::BIGINT AS taken
 FROM y"""
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, w[i] AS w1, w[i - 1] AS w2, w[i - 2] AS w3 FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)),
+c1 AS (SELECT w1, count(*) AS n FROM g GROUP BY w1),
+c2 AS (SELECT w2, w1, count(*) AS n FROM g WHERE i >= 2 GROUP BY w2, w1),
+c3 AS (SELECT w3, w2, w1, count(*) AS n FROM g WHERE i >= 3 GROUP BY w3, w2, w1),
+s AS (
+  SELECT doc_id, i >= 3 AND c3.n >= 2 AS seen, CASE
+      WHEN i >= 3 AND c3.n >= 2 THEN c3.n / h2.n
+      WHEN i >= 2 AND c2.n >= 2 THEN (CASE WHEN i >= 3 THEN 0.4 ELSE 1 END)::DOUBLE * c2.n / h1.n
+      ELSE (CASE WHEN i >= 3 THEN 0.4 * 0.4 WHEN i = 2 THEN 0.4 ELSE 1 END)::DOUBLE * c1.n / (SELECT count(*) FROM g) END AS p
+  FROM g JOIN c1 USING (w1) LEFT JOIN c2 USING (w2, w1) LEFT JOIN c3 USING (w3, w2, w1)
+    LEFT JOIN c1 AS h1 ON h1.w1 = g.w2 LEFT JOIN c2 AS h2 ON h2.w2 = g.w3 AND h2.w1 = g.w2)
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, round(coalesce(sum(ln(p)), 0), 6) AS log_score,
+  round(avg(ln(p)), 6) AS mean_log_score, round(avg(seen::INT), 6) AS seen_share
+FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
