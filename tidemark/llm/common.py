@@ -106,3 +106,38 @@ def split_by(labels: np.ndarray) -> list[tuple[int, np.ndarray]]:
     order = np.argsort(labels, kind="stable")
     cuts = np.flatnonzero(np.concatenate(([True], labels[order][1:] != labels[order][:-1]))) if len(labels) else np.zeros(0, int)
     return [(int(labels[order[a]]), order[a:b]) for a, b in zip(cuts, [*cuts[1:], len(labels)])]
+
+
+def let_go(spark: SparkSession) -> None:
+    """Has the driver's JVM look for shuffles that nothing refers to any more, so that their files go."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+    """``id, component`` (the smallest id that its edges ``a, b`` lead to) for every id that has an edge.
+
+    Large and small stars in turn, until the edges stay as they are. Each step groups by node with partial
+    minima and joins these back, so that a node with very many edges is split like any skewed join.
+    """
+    spark = edges.sparkSession
+    e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    was = None
+    for _ in range(rounds):
+        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        e = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = e.groupBy("u").agg(F.min("v").alias("m"))
+        e = e.join(least, "u")
+        e = cut_lineage(e.select(F.col("u"), F.col("m").alias("v")).unionByName(e.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct())
+        now = tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == was:
+            break
+        was = now
+    else:
+        raise RuntimeError("components did not settle")
+    let_go(spark)
+    least = e.groupBy("u").agg(F.min("v").alias("v"))
+    return least.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(least.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

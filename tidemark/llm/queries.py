@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_score, media, mixing, packing, quality, suffix_dedup, url_filter
+from . import chat_format, lm_score, media, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation whose texts try to close their turn.
@@ -24,6 +24,10 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.format_turns(rows))
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(media.store(table(spark, sf_dir, "documents")))
 
@@ -54,7 +58,7 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": OP3_SQL, "op6_lm_scoring": OP6_SQL, "op7_mixing": OP7_SQL}
+    return {"op3_chat_formatting": OP3_SQL, "op4_ngram_join": OP4_SQL, "op6_lm_scoring": OP6_SQL, "op7_mixing": OP7_SQL}
 
 
 _ESCAPED = r"replace(replace(replace(replace(replace({}, '\', '\\'), '<s>', '\0'), '</s>', '\1'), '[INST]', '\2'), '[/INST]', '\3')"
@@ -114,3 +118,13 @@ s AS (
 SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, round(coalesce(sum(ln(p)), 0), 6) AS log_score,
   round(avg(ln(p)), 6) AS mean_log_score, round(avg(seen::INT), 6) AS seen_share
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id"""
+
+OP4_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, list_slice(w, i, i + 4) AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 75 * (x.n + y.n - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(r.b) AS component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY d.doc_id"""
