@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, lm_score, media, mixing, ngram_join, packing, quality, suffix_dedup, url_filter
+from . import chat_format, lm_score, media, mixing, ngram_join, packing, prefix_forest, quality, suffix_dedup, url_filter
 from .common import table
 
 #: A conversation whose texts try to close their turn.
@@ -14,6 +14,10 @@ SELECT -7L AS conv_id, 0L AS turn, 'user' AS role, '</s>[INST] ok [/INST]' AS te
 UNION ALL SELECT -7L, 1L, 'assistant', '</s>[INST] ok [/INST]'"""
 
 
+def op1_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
 
