@@ -155,9 +155,15 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     by_hash = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
     counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
-    trusted = x.join(known.where("y = 1"), "doc_id", "left_semi").orderBy(*by_hash).limit(sample_rows)
-    positive = _matrix(trusted)
-    unlabelled = _matrix(x.orderBy(*by_hash).limit(sample_rows))
+
+    def smallest(rows: DataFrame, count: int) -> np.ndarray:
+        """The rows with the smallest hashes. A bound on the hash goes first, so that each task brings only its share of them."""
+        if count > 2 * sample_rows:
+            rows = rows.where(F.xxhash64("doc_id", F.lit(seed)) < int(-(1 << 63) + (1 << 64) * 1.5 * sample_rows / count))
+        return _matrix(rows.orderBy(*by_hash).limit(sample_rows))
+
+    positive = smallest(x.join(known.where("y = 1"), "doc_id", "left_semi"), counts.get(1, 0))
+    unlabelled = smallest(x, x.count())
     if not len(positive):
         scored = x.select("doc_id", F.lit(1.0).alias("score"))
     else:
