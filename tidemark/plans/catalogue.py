@@ -1,11 +1,325 @@
-"""The queries of the engine over the driver's tables, and their DuckDB equivalents."""
+"""The queries of the engine over the driver's tables. Times come out in microseconds, derived doubles to six places."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import hashing
+from tidemark.operators import anomaly, chunks, downsample, forecast, maintain, merge, profile, rollup
+from tidemark.plans import oracle
+from tidemark.plans.query import master_field, reduced
+from tidemark.sources import points as P
+
+START, END = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def by_user(spark: SparkSession, sf: str) -> DataFrame:
+    return P.to_points(_read(spark, sf, "events"), "user_id", "ts", ["value"], "ts", "event_id")
+
+
+def by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return P.to_points(_read(spark, sf, "events"), "event_type", "ts", ["value"], "ts", "event_id")
+
+
+def rewritten(spark: SparkSession, sf: str) -> DataFrame:
+    """Points of which every seventh was written again an hour later, with another value."""
+    x = by_user(spark, sf)
+    again = x.where("seq % 7 = 0").withColumns({"value": F.col("value") + 1, "inserted_at": F.col("inserted_at") + F.expr("INTERVAL 1 HOUR")})
+    return x.unionByName(again)
+
+
+def gappy(spark: SparkSession, sf: str) -> DataFrame:
+    """Points with nulls and NaN."""
+    return by_user(spark, sf).withColumn("value", F.when(F.col("seq") % 10 == 0, None).when(F.col("seq") % 31 == 0, float("nan")).otherwise(F.col("value")))
+
+
+def orders(spark: SparkSession, sf: str) -> DataFrame:
+    return P.to_points(_read(spark, sf, "orders"), "o_orderpriority", "o_orderdate", {"price": "o_totalprice"}, "o_orderdate", "o_orderkey")
+
+
+def shipments(spark: SparkSession, sf: str) -> DataFrame:
+    x = _read(spark, sf, "lineitem")
+    return P.to_points(x, "l_suppkey", "l_shipdate", {"quantity": "l_quantity", "price": "l_extendedprice", "discount": "l_discount"}, "l_shipdate", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+
+
+def us(c: str) -> Column:
+    return F.unix_micros(c).alias(f"{c}_us")
+
+
+def r6(c: str, name: str | None = None) -> Column:
+    return F.round(F.col(c), 6).alias(name or c)
+
+
+def _rolled(x: DataFrame) -> DataFrame:
+    return x.select("id", "field", us("bucket"), "count", r6("sum"), F.round("avg", 8).alias("avg"), "min", "max", us("min_time"), us("max_time"))
+
+
+def _points(x: DataFrame, *more: str) -> DataFrame:
+    return x.select("id", us("time"), *more)
+
+
+def _found(x: DataFrame) -> DataFrame:
+    return x.select("id", us("time"), "value", r6("score"), "type", "algorithm", r6("expected_min"), r6("expected_max"))
+
+
+def _ahead(x: DataFrame) -> DataFrame:
+    return x.select("id", "h", us("time"), r6("value"), r6("lower"), r6("upper"), "algorithm")
+
+
+def q_scan_range(s, d):
+    return _points(P.scan(by_user(s, d), start=START, end=END), "value")
+
+
+def q_scan_devices(s, d):
+    return _points(P.scan(by_user(s, d), ["1", "3", "7"], START, END), "value")
+
+
+def q_project_fields(s, d):
+    return _points(P.scan(shipments(s, d), ["1", "2"], fields=["quantity", "absent"]), "seq", "quantity", "absent")
+
+
+def q_device_list(s, d):
+    return P.devices(by_user(s, d))
+
+
+def q_unpivot_long(s, d):
+    return P.to_long(shipments(s, d), ["quantity", "discount"]).groupBy("id", "field").agg(F.count("*").alias("points"), F.round(F.sum("value"), 4).alias("total"))
+
+
+def q_dedup_lww(s, d):
+    return _points(merge.latest(rewritten(s, d)), "value", "seq")
+
+
+def q_merge_tiers(s, d):
+    x = rewritten(s, d)
+    return _points(merge.merge_tiers(x.where(F.col("time") < END), x.where(F.col("time") >= START)), "value", "seq")
+
+
+def q_merge_overlay(s, d):
+    x = by_user(s, d)
+    a = x.select("id", "time", "inserted_at", "seq", F.col("value").alias("a"), F.lit(None).cast("double").alias("b"))
+    b = x.where("seq % 3 = 0").select("id", "time", (F.col("inserted_at") + F.expr("INTERVAL 1 HOUR")).alias("inserted_at"), "seq", F.when(F.col("seq") % 2 == 0, F.col("value") * 2).alias("a"), F.col("value").alias("b"))
+    return _points(merge.overlay(a.unionByName(b)), "a", "b")
+
+
+def q_limit_global(s, d):
+    return _points(merge.limit_rows(by_user(s, d), 100), "value", "seq")
+
+
+def q_rollup_1h(s, d):
+    return _rolled(rollup.rollup(P.to_long(by_user(s, d)), "1h"))
+
+
+def q_rollup_1d(s, d):
+    return _rolled(rollup.rollup(P.to_long(by_user(s, d)), "1d"))
+
+
+def q_rollup_1mo(s, d):
+    return _rolled(rollup.rollup(P.to_long(orders(s, d)), "1M"))
+
+
+def q_rollup_1y(s, d):
+    return _rolled(rollup.rollup(P.to_long(shipments(s, d)), "1y"))
+
+
+def q_rollup_1d_tokyo(s, d):
+    return _rolled(rollup.rollup(P.to_long(by_user(s, d)), "1d", "Asia/Tokyo"))
+
+
+def q_rollup_1h_gaps(s, d):
+    return _rolled(rollup.rollup(P.to_long(gappy(s, d)), "1h"))
+
+
+def q_rollup_cascade_1d(s, d):
+    return _rolled(rollup.merge(rollup.rollup(P.to_long(by_user(s, d)), "1h"), "1d"))
+
+
+def q_rollup_cascade_1y(s, d):
+    x = rollup.rollup(P.to_long(orders(s, d)), "1h")
+    return _rolled(rollup.merge(rollup.merge(rollup.merge(x, "1d"), "1M"), "1y"))
+
+
+def q_rollup_scan_metric(s, d):
+    x = rollup.scan(rollup.rollup(P.to_long(by_user(s, d)), "1h"), ["1", "2", "3"], START, END)
+    return _points(rollup.project(x, "max_time"), "value")
+
+
+def q_variance_rollup(s, d):
+    return rollup.variance(rollup.rollup(P.to_long(by_user(s, d)), "1d")).select("id", us("bucket"), "count", r6("variance"))
+
+
+def q_stats_profile(s, d):
+    return profile.moments(P.to_long(by_type(s, d))).select("id", "n", *[r6(c) for c in ("mean", "stddev_samp", "stddev_pop", "skewness", "kurtosis")], "min", "max")
+
+
+def q_iqr_bounds(s, d):
+    return profile.quartiles(P.to_long(by_user(s, d))).select("id", r6("q1"), r6("median"), r6("q3"), r6("iqr"))
+
+
+def q_mad(s, d):
+    return profile.mad(P.to_long(by_user(s, d))).select("id", r6("median"), r6("mad"))
+
+
+def q_trend_fit(s, d):
+    return profile.trend(profile.indexed(P.to_long(by_type(s, d)))).select("id", "n", r6("slope"), r6("intercept"), r6("r2"), r6("r"), r6("strength"))
+
+
+def q_autocorrelation(s, d):
+    return profile.autocorrelation(profile.indexed(P.to_long(by_type(s, d))), 24).select("id", "n", r6("autocorrelation"))
+
+
+def q_acf(s, d):
+    return profile.acf(profile.indexed(P.to_long(by_type(s, d))), 3).select("id", "lag", r6("acf"))
+
+
+def q_moving_average(s, d):
+    return _points(profile.moving_average(profile.indexed(P.to_long(by_type(s, d))), 5, 5), "i", r6("moving_average"))
+
+
+def q_trailing_average(s, d):
+    return _points(profile.moving_average(profile.indexed(P.to_long(by_type(s, d))), 6), "i", r6("moving_average"))
+
+
+def q_ema(s, d):
+    return profile.ema(profile.indexed(P.to_long(by_user(s, d))), 0.3).select("id", "i", r6("ema"))
+
+
+def q_difference(s, d):
+    return profile.difference(profile.indexed(P.to_long(by_type(s, d))), 2).select("id", "i", r6("value"))
+
+
+def _anomalies(algorithm: str, config: anomaly.Config = anomaly.Config()):
+    return lambda s, d: _found(anomaly.detect(P.to_long(by_type(s, d)), algorithm, config))
+
+
+q_anomaly_zscore = _anomalies("zscore", anomaly.Config(threshold=1.5))
+q_anomaly_iqr = _anomalies("iqr")
+q_anomaly_moving_avg = _anomalies("moving_avg")
+q_anomaly_auto = _anomalies("auto", anomaly.Config(threshold=1.6))
+
+
+def q_anomaly_flatline(s, d):
+    x = by_type(s, d).withColumn("value", F.when(F.col("id").isin("click", "view"), 0.1).otherwise(F.col("value")))
+    return _found(anomaly.detect(P.to_long(x), "zscore", anomaly.Config(threshold=1.6)))
+
+
+def _sampled(mode: str, threshold: int, exact: bool = False):
+    return lambda s, d: _points(downsample.downsample(P.to_long(by_type(s, d)), mode, threshold, exact), r6("value"))
+
+
+q_downsample_minmax = _sampled("minmax", 98)
+q_downsample_minmax_exact = _sampled("minmax", 98, True)
+q_downsample_avg = _sampled("avg", 97)
+q_downsample_m4 = _sampled("m4", 100)
+q_downsample_lttb = _sampled("lttb", 120)
+q_downsample_auto = _sampled("auto", 150)
+
+
+def q_spikiness(s, d):
+    return downsample.choose(profile.indexed(P.to_long(by_type(s, d)))).select("id", "n", r6("spikiness"), "mode")
+
+
+def q_downsample_query(s, d):
+    x = P.to_long(shipments(s, d).where("seq % 7 = 1").withColumn("time", F.timestamp_micros(F.unix_micros("time") + F.col("seq"))))
+    return _points(reduced(x, "minmax", 20), "field", "value")
+
+
+def q_time_aligned_pick(s, d):
+    x = by_user(s, d)
+    return _points(merge.at_times_of(x, x.where("seq % 11 = 0")), "value")
+
+
+def q_master_field(s, d):
+    return master_field(P.to_long(shipments(s, d))).groupBy("id", "field").agg(F.count("*").alias("points"))
+
+
+def _forecast(method: str):
+    return lambda s, d: _ahead(forecast.forecast(P.to_long(by_type(s, d)), method))
+
+
+q_forecast_sma = _forecast("sma")
+q_forecast_linear = _forecast("linear")
+q_forecast_exponential = _forecast("exponential")
+q_forecast_holt_winters = _forecast("holt_winters")
+q_forecast_arima = _forecast("arima")
+q_forecast_prophet = _forecast("prophet")
+q_forecast_auto = _forecast("auto")
+
+
+def q_forecast_accuracy(s, d):
+    x = P.to_long(by_type(s, d))
+    return forecast.models(x, "sma").unionByName(forecast.models(x, "linear")).select("id", "algorithm", r6("mape"), r6("mae"), r6("rmse"), "data_points")
+
+
+def q_chunk_by_size(s, d):
+    return _points(chunks.by_size(by_user(s, d), 500), "seq", "chunk")
+
+
+def q_chunk_by_devices(s, d):
+    return chunks.by_devices(by_user(s, d), 500).groupBy("chunk", "id").agg(F.count("*").alias("points"))
+
+
+def q_chunk_by_interval(s, d):
+    return chunks.by_interval(P.scan(by_user(s, d), start=START, end=END), START, "6h").groupBy("chunk").agg(F.count("*").alias("points"), F.min(F.unix_micros("time")).alias("first_us"))
+
+
+def q_group_routing(s, d):
+    return P.devices(by_user(s, d)).select("id", hashing.fnv1a32(F.concat_ws(":", F.lit("db"), F.lit("events"), "id")).alias("hash"), hashing.group_id("db", "events", F.col("id")).alias("group_id"))
+
+
+def q_checksum(s, d):
+    return maintain.checksum(by_user(s, d))
+
+
+def q_checksum_light(s, d):
+    return maintain.light_checksum(by_user(s, d))
+
+
+def q_last_timestamp(s, d):
+    return maintain.last_timestamp(by_user(s, d)).select(us("last_time"))
+
+
+def q_first_data_date(s, d):
+    return maintain.first_data_date(by_user(s, d)).select(F.col("first_date").cast("string").alias("first_date"))
+
+
+def q_point_count(s, d):
+    return by_user(s, d).agg(F.count("*").alias("points"), F.countDistinct("id").alias("devices"))
+
+
+def q_replica_repair(s, d):
+    x = rewritten(s, d)
+    return _points(maintain.repair_rows(by_user(s, d).where("seq % 5 <> 0"), x), "value", "seq")
+
+
+def q_replica_compare(s, d):
+    group = lambda x: x.withColumn("group_id", F.pmod(F.col("id").cast("int"), F.lit(8)))
+    return maintain.compare(group(by_user(s, d)), group(by_user(s, d).where("seq % 97 <> 0 or id = '1'"))).select("group_id", "count_mine", "count_theirs")
+
+
+def q_stream_rollup_1h(s, d):
+    from tidemark.plans.query import Store
+    from tidemark.streaming import ingest
+
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
+    root = f"{root.rstrip('/')}/stream-{abs(hash((d, id(object()))))}"
+    store = Store(s, root)
+    x = s.readStream.schema(_read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    points = P.to_points(x, "user_id", "ts", ["value"], "ts", "event_id")
+    ingest.ingest(store, "db", "events", points, f"{root}/_checkpoint").awaitTermination()
+    return _rolled(rollup.read(s, store.path("db", "events", "1h")))
+
 
 def queries() -> dict:
-    return {}
+    return {k[2:]: f for k, f in globals().items() if k.startswith("q_")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracle.SQL
