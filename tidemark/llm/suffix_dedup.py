@@ -368,8 +368,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
     With these comes ``order_in_id``: 1, or the row's number, by text, among those with its id.
     """
     spark = df.sparkSession
-    buckets = 2 * shuffle_parts(spark)
-    parts = 2 * buckets
+    buckets = shuffle_parts(spark)
+    parts = 2 * buckets  # each part sends a packed row to each bucket
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
     docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", "doc_id", "t")
 
