@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +71,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted uint64 keys as the byte planes of their differences, so that the shuffle's codec can shrink them."""
+    """Sorted uint64 keys as the byte planes of their differences. The upper planes are small numbers, which entropy coding shrinks."""
     d = np.diff(keys, prepend=np.uint64(0))
-    return np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(d.view(np.uint8).reshape(-1, 8).T).tobytes())
 
 
 def unpack_sorted(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
