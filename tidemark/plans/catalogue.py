@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,8 +58,9 @@ def r6(c: str, name: str | None = None) -> Column:
     return F.round(F.col(c), 6).alias(name or c)
 
 
-def _rolled(x: DataFrame) -> DataFrame:
-    return x.select("id", "field", us("bucket"), "count", r6("sum"), F.round("avg", 8).alias("avg"), "min", "max", us("min_time"), us("max_time"))
+def _rolled(x: DataFrame, places: int = 6) -> DataFrame:
+    """Means of cents over many powers of two end in fives far back, so such queries ask for more places."""
+    return x.select("id", "field", us("bucket"), "count", r6("sum"), F.round("avg", places).alias("avg"), "min", "max", us("min_time"), us("max_time"))
 
 
 def _points(x: DataFrame, *more: str) -> DataFrame:
@@ -122,11 +124,11 @@ def q_rollup_1d(s, d):
 
 
 def q_rollup_1mo(s, d):
-    return _rolled(rollup.rollup(P.to_long(orders(s, d)), "1M"))
+    return _rolled(rollup.rollup(P.to_long(orders(s, d)), "1M"), 8)
 
 
 def q_rollup_1y(s, d):
-    return _rolled(rollup.rollup(P.to_long(shipments(s, d)), "1y"))
+    return _rolled(rollup.rollup(P.to_long(shipments(s, d)), "1y"), 8)
 
 
 def q_rollup_1d_tokyo(s, d):
@@ -309,7 +311,7 @@ def q_stream_rollup_1h(s, d):
     from tidemark.streaming import ingest
 
     root = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    root = f"{root.rstrip('/')}/stream-{abs(hash((d, id(object()))))}"
+    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
     store = Store(s, root)
     x = s.readStream.schema(_read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     points = P.to_points(x, "user_id", "ts", ["value"], "ts", "event_id")

@@ -12,10 +12,10 @@ u AS (SELECT id, time, seq, field, value FROM (UNPIVOT w ON quantity, price, dis
 SERIES = "s AS (SELECT id, time, value, seq, row_number() OVER (PARTITION BY id ORDER BY time, seq) - 1 AS i, count(*) OVER (PARTITION BY id) AS n FROM u)"
 
 
-def rolled(base: str, bucket: str, field: str = "'value'", where: str = "true") -> str:
+def rolled(base: str, bucket: str, field: str = "'value'", where: str = "true", places: int = 6) -> str:
     return f"""WITH {base}, b AS (SELECT id, {field} AS field, {bucket} AS bucket, time, value FROM u WHERE {where}),
 m AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM b WINDOW w AS (PARTITION BY id, field, bucket))
-SELECT id, field, epoch_us(bucket) AS bucket_us, count(*) AS count, round(sum(value), 6) AS sum, round(sum(value) / count(*), 8) AS avg,
+SELECT id, field, epoch_us(bucket) AS bucket_us, count(*) AS count, round(sum(value), 6) AS sum, round(sum(value) / count(*), {places}) AS avg,
   any_value(lo) AS min, any_value(hi) AS max, epoch_us(min(time) FILTER (value = lo)) AS min_time_us, epoch_us(min(time) FILTER (value = hi)) AS max_time_us
 FROM m GROUP BY id, field, bucket"""
 
@@ -123,8 +123,8 @@ SQL = {
     "limit_global": f"WITH {USER} SELECT id, epoch_us(time) AS time_us, value, seq FROM u QUALIFY row_number() OVER (ORDER BY id, time, seq) <= 100",
     "rollup_1h": rolled(USER, "date_trunc('hour', time)"),
     "rollup_1d": rolled(USER, "date_trunc('day', time)::TIMESTAMP"),
-    "rollup_1mo": rolled(ORDERS, "date_trunc('month', time)::TIMESTAMP", "field"),
-    "rollup_1y": rolled(SHIP, "date_trunc('year', time)::TIMESTAMP", "field"),
+    "rollup_1mo": rolled(ORDERS, "date_trunc('month', time)::TIMESTAMP", "field", places=8),
+    "rollup_1y": rolled(SHIP, "date_trunc('year', time)::TIMESTAMP", "field", places=8),
     "rollup_1d_tokyo": rolled(USER, "date_trunc('day', time + INTERVAL 9 HOUR)::TIMESTAMP - INTERVAL 9 HOUR"),
     "rollup_1h_gaps": rolled(USER, "date_trunc('hour', time)", where="seq % 10 <> 0 AND seq % 31 <> 0"),
     "rollup_cascade_1d": rolled(USER, "date_trunc('day', time)::TIMESTAMP"),
