@@ -57,7 +57,7 @@ def apportion(parties: DataFrame, scope: list[str], key: list[str], weight: str,
     """
     every = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
     cols = parties.columns
-    share = F.coalesce(F.col(weight) * F.col(seats) / F.sum(weight).over(every), F.lit(0.0))
+    share = F.coalesce(F.try_divide(F.col(weight) * F.col(seats), F.sum(weight).over(every)), F.lit(0.0))
     x = parties.withColumn("_base", F.floor(share + 0.5).cast("long")).withColumn("_gap", F.col(seats) - F.sum("_base").over(every))
     reach = F.ceil(F.abs("_gap") * F.col("_base") / F.greatest(F.col(seats), F.lit(1))).cast("long") + 1
     x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), reach)))
@@ -85,7 +85,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     quotas = apportion(shards, ["source_no"], ["shard"], "shard_size", "source_blocks", "blocks")
     quotas = quotas.select("source_no", "shard", F.col("shard_size").cast("long").alias("shard_size"), (F.col("blocks") * block_words).alias("quota"))
     before = Window.partitionBy("source_no", "shard").orderBy("pick", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    rounds = F.coalesce(F.floor(F.col("quota") / F.col("shard_size")).cast("long"), F.lit(0))
+    rounds = F.coalesce(F.floor(F.try_divide("quota", "shard_size")).cast("long"), F.lit(0))
     x = dealt.join(quotas, ["source_no", "shard"]).withColumn("rounds", rounds).withColumn("before", F.coalesce(F.sum("size").over(before), F.lit(0)))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - F.col("rounds") * F.col("shard_size") - F.col("before")))
     return x.select("doc_id", "size", "source_size", "target", F.least(cap * F.col("size"), F.col("rounds") * F.col("size") + last).cast("long").alias("taken"))
@@ -99,8 +99,8 @@ def taken_rows(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col:
     cols = df.columns
     plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
     x = df.join(plan, df[id_col].cast("long").eqNullSafe(F.col("_id"))).where(F.col("_taken") > 0)
-    part = F.col("_taken") % F.col("_size")
-    whole = F.floor(F.col("_taken") / F.col("_size")).cast("int")
+    part = F.try_mod(F.col("_taken"), F.col("_size"))
+    whole = F.floor(F.try_divide("_taken", "_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))
     x = x.withColumn("_words", F.explode(copies))
     cut = F.when(F.col("_words") == 0, F.col(text_col)).otherwise(first_words(F.col(text_col), F.col("_words")))
