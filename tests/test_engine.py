@@ -268,7 +268,7 @@ def store(spark, tmp_path_factory):
     return s
 
 
-REQ = dict(database="db", collection="c", ids=["d0", "d1"], start_time="2024-05-15T00:00:00Z", end_time="2024-05-18T00:00:00Z")
+REQ = dict(database="db", collection="c", ids=["d0", "d1"], start_time="2024-05-15T00:00:00Z", end_time="2024-05-17T23:59:59Z")
 
 
 def test_query_paths(store):

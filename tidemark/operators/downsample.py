@@ -108,7 +108,7 @@ def spikiness(series: DataFrame) -> DataFrame:
     x = series.select(*SERIES, "n", "value", F.avg("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("s"), (F.col("value") - F.lag("value").over(w.orderBy("i"))).alias("d"))
     share = lambda c: F.sum(F.when(c, 1).otherwise(0))
     out = share(F.abs(F.col("value") - F.col("m")) > 2 * F.col("s")) / F.first("n")
-    steps = share(F.abs("d") > F.col("s")) / (F.first("n") - 1)
+    steps = share(F.abs("d") > F.col("s")) / F.nullif(F.first("n") - 1, F.lit(0))
     score = F.when((F.first("n") < 10) | (F.first("s") == 0), F.lit(0.0)).otherwise(F.least((out + 1.5 * steps) / 2.5, F.lit(1.0)))
     return x.groupBy(*SERIES).agg(F.first("n").alias("n"), score.alias("spikiness"))
 

@@ -12,7 +12,7 @@ from tidemark.sources.points import KEYS, fields_of
 
 def file_counts(spark: SparkSession, path: str, part: str = "local_date") -> DataFrame:
     """Files and rows of each partition."""
-    return spark.read.parquet(path).groupBy(part).agg(F.countDistinct(F.input_file_name()).alias("files"), F.count("*").alias("rows"))
+    return spark.read.parquet(path).select(part, F.col("_metadata.file_path").alias("_f")).groupBy(part).agg(F.countDistinct("_f").alias("files"), F.count("*").alias("rows"))
 
 
 def compact(spark: SparkSession, path: str, staging: str, min_files: int = 4, part: str = "local_date", keys: tuple[str, ...] = KEYS, dry_run: bool = False) -> list:

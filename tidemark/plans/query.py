@@ -27,8 +27,10 @@ class Store:
         return f"{self.root}/{database}/{collection}/{'raw' if level == 'raw' else f'agg_{level}'}"
 
     def raw(self, r) -> DataFrame:
+        """The points of a request. They are cut to its range first, where the range can choose partitions; the last write of a moment is the same before and after."""
         try:
-            return merge.latest(P.read_points(self.spark, self.path(r.database, r.collection)))
+            stored = P.read_points(self.spark, self.path(r.database, r.collection))
+            return merge.latest(P.scan(stored, r.ids, r.start, r.end, tz=self.tz))
         except Exception as e:
             if "PATH_NOT_FOUND" in str(e):
                 raise RequestError(f"{r.database}/{r.collection}", "COLLECTION_NOT_FOUND") from e
@@ -52,8 +54,7 @@ class Store:
 def series(store: Store, r: QueryRequest) -> DataFrame:
     """Long points that a request asks for: of raw points, or a metric of the rollup of its interval."""
     if r.level is None:
-        found = P.scan(store.raw(r), r.ids, r.start, r.end, tz=store.tz)
-        return P.to_long(merge.limit_rows(found, r.limit), r.fields or None)
+        return P.to_long(merge.limit_rows(store.raw(r), r.limit), r.fields or None)
     x = rollup.scan(store.rollups(r, r.level), r.ids, r.start, r.end)
     return merge.limit_rows(rollup.project(x, r.aggregation, r.fields or None), r.limit)
 
@@ -101,21 +102,21 @@ def anomalies(store: Store, r: QueryRequest) -> DataFrame:
 
 def presented(long: DataFrame, tz: str = "UTC") -> DataFrame:
     """One JSON object for each device: its times, as its zone shows them, and an array for each field."""
-    rows = long.groupBy("id", "time").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("v"))
+    rows = long.groupBy("id", "time").agg(F.array_sort(F.collect_list(F.struct("field", "value"))).alias("v"))
     names = long.groupBy("id").agg(F.array_sort(F.collect_set("field")).alias("fields"))
     x = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time", "v"))).alias("p")).join(names, "id")
     times = F.transform("p", lambda p: calendar.rendered(p["time"], tz))
-    arrays = F.map_from_arrays("fields", F.transform("fields", lambda f: F.transform("p", lambda p: F.try_element_at(p["v"], f))))
+    arrays = F.map_from_arrays("fields", F.transform("fields", lambda f: F.transform("p", lambda p: F.try_element_at(F.map_from_entries(p["v"]), f))))
     return x.select(F.to_json(F.struct("id", times.alias("times"), arrays.alias("fields"))).alias("value"))
 
 
 def stream(store: Store, r: StreamRequest) -> Iterator[dict]:
     """A query's result as events; chunks are downsampled each by itself."""
-    r.validate()
     return chunks.events(chunked(store, r))
 
 
 def chunked(store: Store, r: StreamRequest) -> DataFrame:
+    r.validate()
     long = series(store, r)
     if r.chunk_interval:
         x = chunks.by_interval(long, r.start, r.chunk_interval)

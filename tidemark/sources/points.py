@@ -89,7 +89,7 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
 
 def partitions(points: DataFrame) -> DataFrame:
     """Rows and files of each local date of a stored table."""
-    return points.groupBy("local_date").agg(F.count("*").alias("rows"), F.countDistinct(F.input_file_name()).alias("files"))
+    return points.select("local_date", F.col("_metadata.file_path").alias("_f")).groupBy("local_date").agg(F.count("*").alias("rows"), F.countDistinct("_f").alias("files"))
 
 
 def parse_json(lines: DataFrame, fields: dict[str, str], column: str = "value") -> DataFrame:
