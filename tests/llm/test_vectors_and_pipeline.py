@@ -51,7 +51,6 @@ def test_many_copies_do_not_hide_others(spark):
     got = {}
     for r in prefix_forest.search(df).collect():
         got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
-    assert [i for _, i in sorted(got[40])] == [k for k in range(21) if k != 40][:20] or True
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
     recall = np.mean([len({i for _, i in v} & set(brute(ids, x, int(np.flatnonzero(ids == q)[0]), 20).tolist())) / 20 for q, v in got.items()])
     assert recall >= 0.9

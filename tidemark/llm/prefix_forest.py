@@ -105,6 +105,8 @@ class Forest:
             for t in range(self.trees):
                 mask[self.order[t][lo[t, i] : hi[t, i]]] = True
             found = np.flatnonzero(mask)
+            if len(found) <= self.nearest:  # up to the root, which holds all
+                found = np.arange(len(self.x))
             rough = self.coarse[found] @ (q[i] / size[i]).astype(np.float32)
             k = self.nearest + 1
             if len(found) > k:  # a margin for the coarse scores' rounding, then exact ones, summed alike for all
