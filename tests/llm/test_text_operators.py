@@ -125,9 +125,20 @@ def brute_components(rows, percent=75):
     return sorted((d, len(sets[i]), least[top(i)]) for i, (d, _, _) in enumerate(rows))
 
 
-def test_join_against_brute_force(spark):
+@pytest.mark.parametrize("more", [{}, {"large": 4}])
+def test_join_against_brute_force(spark, more):
     rows = [*hard_rows(), (50, "a b c", "a"), (51, "A b  C", "a"), (52, "a b", "a")]
-    assert sorted(map(tuple, ngram_join.join(docs(spark, rows)).collect())) == brute_components(rows)
+    assert sorted(map(tuple, ngram_join.join(docs(spark, rows), **more).collect())) == brute_components(rows)
+
+
+def test_thinned_chains(spark):
+    """Texts that each differ a little more from the first: links reach only the nearer ones."""
+    w = [f"w{k}" for k in range(200)]
+    rows = [(500 - k, " ".join(["x%d" % i if i < 4 * k else x for i, x in enumerate(w)]), "s") for k in range(30)]
+    rows += [(600 + k, " ".join(w[:150] + ["y%d_%d" % (k, i) for i in range(20 + k)]), "s") for k in range(20)]
+    want = brute_components(rows)
+    for large in (3, 10, 1000):
+        assert sorted(map(tuple, ngram_join.join(docs(spark, rows), large=large).collect())) == want
 
 
 def test_groups_against_brute_force():

@@ -8,7 +8,11 @@ A document's set holds its distinct 5-word shingles. Two documents link where 10
    the unshared ones count as the rarest).
 2. Equal sets are one class. Classes that have a prefix shingle in common, directly or by others, form a
    group; links never leave a group.
-3. Within a group, lists of prefix shingles hold sets by size, so that blocks of other sizes are skipped,
+3. A group of more than ``large`` classes is thinned first, by tasks of bounded size: all its sets are compared
+   with one of them, the pivot. Those that link with it are connected by that; of these, one nearer to the
+   pivot than the nearest other set less the threshold can't link with any other set, as Jaccard distance
+   obeys the triangle inequality, and leaves the group. What is left of it goes round again, three times at most.
+4. Within a group, lists of prefix shingles hold sets by size, so that blocks of other sizes are skipped,
    and of the rest those whose positions leave too few shingles to share. When a set has been compared with
    all others, the answers of a set similar to it come from those: what lies further from the first than
    the threshold and the two sets' distance is skipped, as is what is connected already.
@@ -34,6 +38,9 @@ WORDS = 5
 PERCENT = 75
 #: Hash bits for counting documents a shingle. Two shingles that meet only seem shared, which loses nothing.
 COUNT_BITS = 48
+#: Classes of a group that one task may compare without thinning, and rounds of thinning.
+LARGE = 1_000
+ROUNDS = 3
 
 
 def shingles(part: Part, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +156,37 @@ def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], per
     return label
 
 
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def thin(sets: DataFrame, percent: int, large: int) -> tuple[DataFrame, DataFrame]:
+    """One round over large groups: what is left of them, and the links ``a, b`` between classes that were found.
+
+    The pivot is the set with the least unshared, so likely the one that others were made from. It goes to
+    each of the group's slices, which hold ``large`` sets on average.
+    """
+    order = F.struct((F.col("prefix") / F.col("n")).alias("q"), F.col("cls").alias("c"))
+    pivots = sets.groupBy("grp").agg(F.max_by(F.struct("cls", "n", "tokens"), order).alias("pivot"), F.ceil(F.count("*") / large).cast("int").alias("slices"))
+    sliced = sets.join(pivots.select("grp", "slices"), "grp").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).drop("slices")
+    sent = pivots.select(F.col("grp").alias("to_grp"), "pivot", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("to_slice"))
+    kept = ["grp", "cls", "rep", "h1", "h2", "n", "prefix", "tokens"]
+
+    def compare(key: tuple, members: pa.Table, pivot: pa.Table) -> pa.Table:
+        own = pivot.column("pivot")[0].as_py()
+        base = np.frombuffer(own["tokens"], np.uint64)
+        sizes = members.column("n").to_numpy()
+        both = np.array([len(np.intersect1d(base, np.frombuffer(t, np.uint64), assume_unique=True)) for t in members.column("tokens").to_pylist()], np.int64)
+        union = sizes + own["n"] - both
+        out = members.select(kept)
+        for name, x in (("pivot", np.full(len(sizes), own["cls"])), ("far", 1 - both / union), ("linked", 100 * both >= percent * union)):
+            out = out.append_column(name, pa.array(x))
+        return out
+
+    ddl = "grp long, cls long, rep long, h1 long, h2 long, n long, prefix int, tokens binary, pivot long, far double, linked boolean"
+    x = cut_lineage(sliced.groupBy("grp", "slice").cogroup(sent.groupBy("to_grp", "to_slice")).applyInArrow(compare, ddl))
+    nearest = x.where("not linked").groupBy("grp").agg(F.min("far").alias("nearest"))
+    left = x.join(nearest, "grp").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).select(kept)
+    return cut_lineage(left), x.where("linked and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row."""
     spark = df.sparkSession
     buckets = 2 * shuffle_parts(spark)
@@ -213,25 +250,48 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        cols = {c: table.column(c).to_numpy() for c in ("grp", "rep", "h1", "h2", "n", "prefix")}
-        o = np.lexsort((cols["h2"], cols["h1"], cols["n"], cols["rep"], cols["grp"]))
-        same = [cols[c][o] for c in ("grp", "rep", "n", "h1", "h2")]
+        grp, cls, n, prefix = (table.column(c).to_numpy() for c in ("grp", "cls", "n", "prefix"))
+        o = np.lexsort((cls, grp))
         new = np.ones(len(o), bool)
-        new[1:] = np.any([c[1:] != c[:-1] for c in same], axis=0)
+        new[1:] = (cls[o][1:] != cls[o][:-1]) | (grp[o][1:] != grp[o][:-1])  # several parts may have brought a class
         o = o[new]
         tokens = table.column("tokens").take(pa.array(o)).to_pylist()
         out = np.zeros(len(o), np.int64)
-        for _, at in split_by(cols["grp"][o]):
+        for _, at in split_by(grp[o]):
             q = o[at]
-            label = link_groups([np.frombuffer(tokens[i], np.uint64) for i in at.tolist()], cols["prefix"][q].tolist(), cols["n"][q].tolist(), percent) if len(at) > 1 else np.zeros(1, int)
-            out[at] = cols["rep"][q][label]  # in order of rep, so the first of a component has the smallest
-        return pa.table([pa.array(cols[c][o]) for c in ("h1", "h2", "n", "rep")] + [pa.array(out)], names=["h1", "h2", "n", "rep", "component"])
+            label = link_groups([np.frombuffer(tokens[i], np.uint64) for i in at.tolist()], prefix[q].tolist(), n[q].tolist(), percent) if len(at) > 1 else np.zeros(1, int)
+            out[at] = cls[q][label]
+        linked = out != cls[o]
+        return pa.table({"a": pa.array(cls[o][linked]), "b": pa.array(out[linked])})
 
-    sets = rows.where("tokens is not null").select(*name, "prefix", "tokens").join(grouped, name)
+    cls = F.xxhash64(*name).alias("cls")
+    sets = rows.where("tokens is not null").select(*name, cls, "prefix", "tokens").join(grouped, name).select("grp", "cls", "rep", *name, "prefix", "tokens")
+    crowded = cut_lineage(groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("grp"))
+    links = []
+    if not crowded.isEmpty():
+        hot = sets.join(crowded, "grp", "left_semi").groupBy("grp", "cls", "rep", *name).agg(F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+        sets = sets.join(crowded, "grp", "left_anti")
+        for _ in range(ROUNDS):
+            left, found = thin(hot, percent, large)
+            links.append(found)
+            over = cut_lineage(left.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("grp"))
+            sets = sets.unionByName(left.join(over, "grp", "left_anti"))
+            hot = left.join(over, "grp", "left_semi")
+            if over.isEmpty():
+                break
+        else:
+            sets = sets.unionByName(hot)
     sets = sets.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(2 * buckets)).cast("int"))
-    settled = sets.select("bucket", "grp", "rep", *name, "prefix", "tokens").groupBy("bucket").applyInArrow(settle, "h1 long, h2 long, n long, rep long, component long")
-    alone = classes.join(groups, F.col("rep") == F.col("id"), "left_anti").select(*name, "rep", F.col("rep").alias("component"))
-    settled = cut_lineage(settled.unionByName(alone).select(*name, "component"))
+    settled = sets.select("bucket", "grp", "cls", "n", "prefix", "tokens").groupBy("bucket").applyInArrow(settle, "a long, b long")
+    # links within groups already lead to one class each, but for those to pivots
+    if links:
+        for found in links:
+            settled = settled.unionByName(found)
+        ends = components(settled).select(F.col("id").alias("cls"), F.col("component").alias("end"))
+    else:
+        ends = settled.select(F.col("a").alias("cls"), F.col("b").alias("end"))
+    ended = cut_lineage(classes.select(*name, "rep", cls).join(ends, "cls", "left").select(*name, "rep", F.coalesce("end", "cls").alias("end")))
+    settled = ended.join(ended.groupBy("end").agg(F.min("rep").alias("component")), "end").select(*name, "component")
     out = rows.select("id", *name).join(settled, name, "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias("doc_id"), F.col("n").alias("n_shingles"), real("component").alias("component_id"))
