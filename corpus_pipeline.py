@@ -32,17 +32,11 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def repeated_text_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the long passages that stand earlier; a character that is cut through goes with its passage.
-
-    Of rows that share an id, each keeps its own rest (they are numbered alike on both sides, by text).
-    """
-    from pyspark.sql import Window
-
-    rest = suffix_dedup.dedup(docs, with_kept=True).select(F.col("doc_id").alias("_id"), "kept", "n_bytes", "order_in_id")
-    numbered = docs.withColumn("_n", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.coalesce(F.col("text"), F.lit("")))))
-    x = numbered.join(rest, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("order_in_id")))
-    text = F.when(F.col("text").isNotNull(), whole_characters(F.col("kept")))
-    return x.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+    """Texts without the long passages that stand earlier; a character that is cut through goes with its passage."""
+    rest = suffix_dedup.dedup(docs.withColumn("is_null", F.col("text").isNull()), with_kept=True, carry=("lang", "source", "is_null"))
+    text = F.when(~F.col("carried_is_null"), whole_characters(F.col("kept")))
+    x = rest.select("doc_id", text.alias("text"), F.col("carried_lang").alias("lang"), F.col("carried_source").alias("source"))
+    return x.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def whole_characters(raw):

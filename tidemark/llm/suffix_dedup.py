@@ -362,16 +362,18 @@ def _core(table: pa.Table, block: int, threshold: int) -> list[tuple[int, int, b
     return out
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, mer: int = MER, hot: int = HOT, block: int = BLOCK, with_kept: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, mer: int = MER, hot: int = HOT, block: int = BLOCK, with_kept: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and, if asked for, the bytes that are left, ``kept``.
 
-    With these comes ``order_in_id``: 1, or the row's number, by text, among those with its id.
+    ``carry`` names columns of the input that come along, as they are, as ``carried_<name>``.
     """
     spark = df.sparkSession
     buckets = shuffle_parts(spark)
     parts = 2 * buckets  # each part sends a packed row to each bucket
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", "doc_id", "t")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"), *[F.col(c).alias(f"carried_{c}") for c in carry])
+    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", *docs.columns)
+    ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
+    ddl += "".join(f", `carried_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def begin(docs: pa.Table) -> pa.Table:
         part, here = docs.column("part")[0].as_py(), _Part(docs)
@@ -420,12 +422,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
         cols = [here.ids.take(pa.array(here.order)), pa.array(np.diff(here.at)), pa.array(np.diff(n_gone).astype(np.int64)), pa.array(np.diff(n_rise).astype(np.int64)), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if with_kept:
-            same = np.arange(len(here.id)) - np.searchsorted(here.id, here.id) + 1
-            cols, names = [*cols, pa.array(kept, pa.binary()), pa.array(same.astype(np.int32))], [*names, "kept", "order_in_id"]
+            cols, names = [*cols, pa.array(kept, pa.binary())], [*names, "kept"]
+        for c in carry:
+            cols, names = [*cols, docs.column(f"carried_{c}").take(pa.array(here.order))], [*names, f"carried_{c}"]
         return pa.table(cols, names=names)
 
     x = docs.groupBy("part").applyInArrow(begin, _ROW_DDL)
     x = x.groupBy("to").applyInArrow(reduce, _ROW_DDL)
     x = x.groupBy("to").cogroup(docs.groupBy("part")).applyInArrow(fetch, _ROW_DDL)
     x = x.groupBy("to").applyInArrow(core, _ROW_DDL)
-    return x.groupBy("to").cogroup(docs.groupBy("part")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary, order_in_id int" * with_kept)
+    return x.groupBy("to").cogroup(docs.groupBy("part")).applyInArrow(finish, ddl)
