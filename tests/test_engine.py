@@ -396,3 +396,28 @@ def test_profile(spark):
     assert math.isclose(profile.autocorrelation(x, 24).first().autocorrelation, (d[24:] * d[:-24]).sum() / (d[24:] ** 2).sum())
     assert {r.lag: round(r.acf, 9) for r in profile.acf(x, 2).collect()} == {k: round((d[k:] * d[:-k]).sum() / (d * d).sum(), 9) for k in (1, 2)}
     assert profile.difference(x, 2).count() == 98
+
+
+def test_range_reaches_the_files(spark, sf):
+    from tidemark.plans import catalogue
+
+    plan = catalogue.queries()["scan_range"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(ts" in plan and "props" not in plan.split("ReadSchema")[1]
+
+
+def test_predicates_gaps_and_dumps(spark, tmp_path):
+    from tidemark.operators import resample
+
+    x = series(spark, [1.0, 5.0, 3.0], dt.timedelta(hours=2))
+    assert [r.value for r in x.where(P.condition("value", ">", 2) & P.condition("value", "!=", 5)).collect()] == [3.0]
+    assert x.where(P.condition("value", "IS_NULL")).count() == 0
+    with pytest.raises(ValueError):
+        P.condition("value", "LIKE", "x")
+    got = resample.fill_gaps(x).orderBy("bucket").collect()
+    assert [r.value for r in got] == [1.0, None, 5.0, None, 3.0] and [r["count"] for r in got] == [1, 0, 1, 0, 1]
+    assert [r.value for r in resample.fill_gaps(x, carry=True).orderBy("bucket").collect()] == [1.0, 1.0, 5.0, 5.0, 3.0]
+    points = P.to_points(x, "id", "time", {"v": "value"})
+    P.write_points(points, str(tmp_path / "t"), bloom=True)
+    P.dump_csv(spark, str(tmp_path / "t"), str(tmp_path / "csv"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 3
+    assert P.recent(points, 1).count() == 0

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import hashing
-from tidemark.operators import anomaly, chunks, downsample, forecast, maintain, merge, profile, rollup
+from tidemark.operators import anomaly, chunks, downsample, forecast, maintain, merge, profile, resample, rollup
 from tidemark.plans import oracle
 from tidemark.plans.query import master_field, reduced
 from tidemark.sources import points as P
@@ -21,8 +21,8 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def by_user(spark: SparkSession, sf: str) -> DataFrame:
-    return P.to_points(_read(spark, sf, "events"), "user_id", "ts", ["value"], "ts", "event_id")
+def by_user(spark: SparkSession, sf: str, start=None, end=None) -> DataFrame:
+    return P.to_points(P.in_range(_read(spark, sf, "events"), "ts", start, end), "user_id", "ts", ["value"], "ts", "event_id")
 
 
 def by_type(spark: SparkSession, sf: str) -> DataFrame:
@@ -76,17 +76,27 @@ def _ahead(x: DataFrame) -> DataFrame:
 
 
 def q_scan_range(s, d):
-    return _points(P.scan(by_user(s, d), start=START, end=END), "value")
+    return _points(P.scan(by_user(s, d, START, END), start=START, end=END), "value")
 
 
 def q_scan_devices(s, d):
-    return _points(P.scan(by_user(s, d), ["1", "3", "7"], START, END), "value")
+    return _points(P.scan(by_user(s, d, START, END), ["1", "3", "7"], START, END), "value")
 
 
 def q_project_fields(s, d):
     return _points(P.scan(shipments(s, d), ["1", "2"], fields=["quantity", "absent"]), "seq", "quantity", "absent")
 
 
+def q_predicate_filter(s, d):
+    x = shipments(s, d)
+    return _points(x.where(P.condition("quantity", ">=", 49.0) & P.condition("discount", "<", 0.02) & P.condition("price", "IS_NOT_NULL")), "seq", "quantity", "discount")
+
+
+def q_gap_fill(s, d):
+    x = resample.fill_gaps(P.to_long(by_user(s, d)), "1h", carry=True)
+    return x.select("id", us("bucket"), "count", r6("value"))
+
+
 def q_device_list(s, d):
     return P.devices(by_user(s, d))
 
@@ -269,7 +279,7 @@ def q_chunk_by_devices(s, d):
 
 
 def q_chunk_by_interval(s, d):
-    return chunks.by_interval(P.scan(by_user(s, d), start=START, end=END), START, "6h").groupBy("chunk").agg(F.count("*").alias("points"), F.min(F.unix_micros("time")).alias("first_us"))
+    return chunks.by_interval(P.scan(by_user(s, d, START, END), start=START, end=END), START, "6h").groupBy("chunk").agg(F.count("*").alias("points"), F.min(F.unix_micros("time")).alias("first_us"))
 
 
 def q_group_routing(s, d):

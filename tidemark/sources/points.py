@@ -31,6 +31,27 @@ def to_points(df: DataFrame, id: str | Column, time: str | Column, fields: dict[
     )
 
 
+def in_range(df: DataFrame, time: str, start=None, end=None) -> DataFrame:
+    """Rows of any table in a range whose ends both count. The bounds take the column's own type, so that files are skipped by them."""
+    kind = df.schema[time].dataType
+    bound = lambda t: F.lit(t).cast("timestamp").cast(kind)
+    df = df if start is None else df.where(F.col(time) >= bound(start))
+    return df if end is None else df.where(F.col(time) <= bound(end))
+
+
+#: Comparisons that ``condition`` knows.
+COMPARISONS = ("==", "!=", ">", ">=", "<", "<=", "IS_NULL", "IS_NOT_NULL")
+
+
+def condition(field: str, comparison: str, value=None) -> Column:
+    """A predicate on one field by the name of its comparison."""
+    c = F.col(field)
+    made = {"==": c == value, "!=": c != value, ">": c > value, ">=": c >= value, "<": c < value, "<=": c <= value, "IS_NULL": c.isNull(), "IS_NOT_NULL": c.isNotNull()}
+    if comparison not in made:
+        raise ValueError(f"INVALID_REQUEST: comparison must be one of: {', '.join(COMPARISONS)}")
+    return made[comparison]
+
+
 def fields_of(points: DataFrame, numeric: bool = False) -> list[str]:
     return [f.name for f in points.schema.fields if f.name not in META and (not numeric or isinstance(f.dataType, NUMERIC))]
 
@@ -77,10 +98,23 @@ def devices(points: DataFrame) -> DataFrame:
     return points.select("id").distinct()
 
 
-def write_points(points: DataFrame, path: str, tz: str = "UTC", mode: str = "append") -> None:
-    """Appends to a table partitioned by local date; rows of a file stand by device and time, so that its statistics skip."""
+def recent(points: DataFrame, hours: float) -> DataFrame:
+    """The points of the last hours before now, for a cache of what is asked for most."""
+    return points.where(F.col("time") >= F.timestamp_micros(F.unix_micros(F.current_timestamp()) - int(hours * 3_600_000_000)))
+
+
+def write_points(points: DataFrame, path: str, tz: str = "UTC", mode: str = "append", bloom: bool = False) -> None:
+    """Appends to a table partitioned by local date; rows of a file stand by device and time, so that its statistics skip.
+
+    ``bloom`` adds Bloom filters of the devices, for tables where single devices are asked for.
+    """
     x = points.withColumn("local_date", calendar.local_date(F.col("time"), tz))
-    x.repartition("local_date", F.pmod(F.hash("id"), F.lit(8))).sortWithinPartitions("local_date", "id", "time").write.mode(mode).partitionBy("local_date").parquet(path)
+    x.repartition("local_date", F.pmod(F.hash("id"), F.lit(8))).sortWithinPartitions("local_date", "id", "time").write.option("parquet.bloom.filter.enabled#id", str(bloom).lower()).mode(mode).partitionBy("local_date").parquet(path)
+
+
+def dump_csv(spark: SparkSession, path: str, out: str) -> None:
+    """A stored table, points or rollups, as CSV with a header."""
+    spark.read.parquet(path).write.mode("overwrite").option("header", True).csv(out)
 
 
 def read_points(spark: SparkSession, path: str) -> DataFrame:
