@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pack_columns, pack_sorted, shuffle_parts, span_view, unpack_columns, unpack_sorted, utf8
+from .common import dealt, mix64, opened, pack_columns, pack_sorted, shuffle_parts, span_view, unpack_columns, unpack_sorted, utf8
 
 _DDL = "to int, source int, keys binary, counts binary"
 _TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
@@ -106,9 +106,9 @@ class Part:
         return Words(self.raw, self.at)
 
 
-def dealt(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
+def by_part(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
-    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", "doc_id", "t")
+    return dealt(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), parts)
 
 
 def with_counts(df: DataFrame, keys_of: Callable, use: Callable, ddl: str, id_col: str = "doc_id", text_col: str = "text", bits: int = 56) -> DataFrame:
@@ -117,7 +117,7 @@ def with_counts(df: DataFrame, keys_of: Callable, use: Callable, ddl: str, id_co
     ``look_up(keys)`` gives the corpus count of each of these keys.
     """
     buckets = shuffle_parts(df.sparkSession)
-    docs = dealt(df, id_col, text_col, 2 * buckets)
+    docs = by_part(df, id_col, text_col, 2 * buckets)
     shift = np.uint64(64 - bits)
 
     def distinct(part: Part) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def with_counts(df: DataFrame, keys_of: Callable, use: Callable, ddl: str, id_co
 
     def begin(docs: pa.Table) -> pa.Table:
         source = docs.column("part")[0].as_py()
-        keys, counts = distinct(Part(docs))
+        keys, counts = distinct(Part(opened(docs)))
         cuts = bucket_edges(keys)
         rows = [(b, source, pack_sorted(keys[x:y]), pack_columns(counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
         return _table(rows)
@@ -145,7 +145,7 @@ def with_counts(df: DataFrame, keys_of: Callable, use: Callable, ddl: str, id_co
         return _table([(s, bucket, b"", pack_columns(np.minimum(summed[place[x:y]], (1 << 32) - 1).astype(np.uint32))) for s, x, y in zip(sources, cuts[:-1], cuts[1:])])
 
     def finish(key: tuple, answers: pa.Table, docs: pa.Table) -> pa.Table:
-        part = Part(docs)
+        part = Part(opened(docs))
         keys, _ = distinct(part)
         got = dict(zip(answers.column("source").to_pylist(), answers.column("counts").to_pylist()))
         counts = [unpack_columns(got[b], (np.uint32,))[0] for b in sorted(got)]

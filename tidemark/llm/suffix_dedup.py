@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_columns, mix64, pack_columns, shuffle_parts, span_view, split_by, utf8
+from .common import concat_columns, dealt, mix64, opened, pack_columns, shuffle_parts, span_view, split_by, utf8
 
 THRESHOLD = 100
 MER = 40
@@ -311,7 +311,7 @@ def _fetch(part: int, asked: pa.Table, docs: pa.Table, buckets: int, threshold:
     fetch, split = _blobs(asked, _FETCH), _blobs(asked, _SPLIT)
     if not fetch and not split:
         return out
-    here = _Part(docs)
+    here = _Part(opened(docs))
     key, doc, place, start, windows = concat_columns(fetch, _REQUEST)
     for bucket, at in split_by((key % np.uint64(buckets)).astype(np.int64)):
         a = here.at[place[at]] + start[at]
@@ -371,12 +371,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
     buckets = shuffle_parts(spark)
     parts = 2 * buckets  # each part sends a packed row to each bucket
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    docs = docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", *docs.columns)
+    docs = dealt(docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")), parts)
     ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_kept
     ddl += "".join(f", `carried_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
 
     def begin(docs: pa.Table) -> pa.Table:
-        part, here = docs.column("part")[0].as_py(), _Part(docs)
+        part, here = docs.column("part")[0].as_py(), _Part(opened(docs))
         found = []
         for raw, at, which, shift in here.stretches(threshold):
             r = runs(raw, at, threshold, mer)
@@ -404,6 +404,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thresho
         return _rows(_core(table, block, threshold) + [r for r in _reduce(table, 1 << 62, 1 << 62, threshold) if r[1] == _MARKS] if done is None else done)
 
     def finish(key: tuple, marks: pa.Table, docs: pa.Table) -> pa.Table:
+        docs = opened(docs)
         here = _Part(docs)
         cover = np.zeros(len(here.raw) + 1, np.int32)
         if marks.num_rows:
