@@ -346,7 +346,7 @@ def test_upkeep(spark, tmp_path):
     for _ in range(6):
         P.write_points(x, path)
     crowded = maintain.compact(spark, path, str(tmp_path / "stage"), dry_run=True)
-    assert len(crowded) == 6
+    assert len(crowded) == 5
     before = maintain.checksum(merge.latest(P.read_points(spark, path)).select(*x.columns)).first()
     maintain.compact(spark, path, str(tmp_path / "stage"))
     after = P.read_points(spark, path).select(*x.columns)
@@ -354,7 +354,7 @@ def test_upkeep(spark, tmp_path):
     assert maintain.retain(spark, path, "2024-05-17 00:00:00") == ["local_date=2024-05-15", "local_date=2024-05-16"]
     assert maintain.checksum(x.where("false")).first().checksum == "empty"
     assert maintain.light_checksum(x.where("false")).first().checksum == "empty"
-    assert P.partitions(P.read_points(spark, path)).count() == 4
+    assert P.partitions(P.read_points(spark, path)).count() == 3
 
 
 def test_catalog(spark, tmp_path):
