@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -83,31 +81,6 @@ def unpack_sorted(raw: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def dealt(rows: DataFrame, parts: int) -> DataFrame:
-    """``part, payload``: the rows of each part (a column of theirs), packed and compressed some thousands at a time."""
-    names = [c for c in rows.columns if c != "part"]
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        for batch in batches:
-            found = split_by(batch.column(0).to_numpy())
-            packed = []
-            for _, at in found:
-                sink = pa.BufferOutputStream()
-                own = pa.Table.from_batches([batch]).select(names).take(pa.array(at))
-                with pa.ipc.new_stream(sink, own.schema, options=options) as writer:
-                    writer.write_table(own.combine_chunks())
-                packed.append(sink.getvalue().to_pybytes())
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in found], pa.int32()), pa.array(packed, pa.binary())], names=["part", "payload"])
-
-    return rows.select("part", *names).mapInArrow(pack, "part int, payload binary")
-
-
-def opened(packed: pa.Table) -> pa.Table:
-    """The rows of one part."""
-    return pa.concat_tables([pa.ipc.open_stream(b).read_all() for b in packed.column("payload").to_pylist()]).combine_chunks()
-
-
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of uint64 values (the finaliser of splitmix64)."""
     x = x.astype(np.uint64, copy=True)
