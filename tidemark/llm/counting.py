@@ -4,7 +4,8 @@ Documents are dealt over parts by id. Each part sends its distinct keys, with ho
 buckets by key range; a bucket sums them over all parts and answers each part in the order it was asked.
 Keys are ``bits`` wide and travel as differences of sorted values. Both exchanges are bounded by their
 numbers of parts and buckets, which follow ``spark.sql.shuffle.partitions``; a frequent key is one row
-for each part, so no task gathers its occurrences.
+for each part, so no task gathers its occurrences. Counts travel as 32 bits; the few that these don't
+hold go along as 64 bits, so that each is answered as it is.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
 _POWERS: list[np.ndarray] = []
 CHUNK = 1_000_000
+#: Stands for a count of 32 bits or more, which is given by itself.
+WIDE = (1 << 32) - 1
 
 
 class Words:
@@ -106,6 +109,19 @@ class Part:
         return Words(self.raw, self.at)
 
 
+def pack_counts(counts: np.ndarray) -> bytes:
+    """How many wide counts there are, these, and all counts in 32 bits."""
+    wide = counts[counts >= WIDE].astype(np.int64)
+    return np.uint32(len(wide)).tobytes() + wide.tobytes() + pack_columns(np.minimum(counts, WIDE).astype(np.uint32))
+
+
+def unpack_counts(raw: bytes) -> np.ndarray:
+    n = int(np.frombuffer(raw, np.uint32, 1)[0])
+    counts = unpack_columns(raw[4 + 8 * n :], (np.uint32,))[0].astype(np.int64)
+    counts[counts == WIDE] = np.frombuffer(raw[4:], np.int64, n)
+    return counts
+
+
 def dealt(df: DataFrame, id_col: str, text_col: str, parts: int) -> DataFrame:
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"))
     return docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")).select("part", "doc_id", "t")
@@ -131,25 +147,25 @@ def with_counts(df: DataFrame, keys_of: Callable, use: Callable, ddl: str, id_co
         source = docs.column("part")[0].as_py()
         keys, counts = distinct(Part(docs))
         cuts = bucket_edges(keys)
-        rows = [(b, source, pack_sorted(keys[x:y]), pack_columns(counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
+        rows = [(b, source, pack_sorted(keys[x:y]), pack_counts(counts[x:y])) for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])) if y > x]
         return _table(rows)
 
     def total(table: pa.Table) -> pa.Table:
         bucket = table.column("to")[0].as_py()
         sources = table.column("source").to_pylist()
         keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
-        counts = [unpack_columns(c, (np.uint32,))[0] for c in table.column("counts").to_pylist()]
+        counts = [unpack_counts(c) for c in table.column("counts").to_pylist()]
         every, place = np.unique(np.concatenate(keys), return_inverse=True)
-        summed = np.bincount(place, np.concatenate(counts)).astype(np.uint64)
+        summed = np.bincount(place, np.concatenate(counts)).astype(np.int64)  # sums of doubles, exact up to 2^53
         cuts = np.cumsum([0, *map(len, keys)])
-        return _table([(s, bucket, b"", pack_columns(np.minimum(summed[place[x:y]], (1 << 32) - 1).astype(np.uint32))) for s, x, y in zip(sources, cuts[:-1], cuts[1:])])
+        return _table([(s, bucket, b"", pack_counts(summed[place[x:y]])) for s, x, y in zip(sources, cuts[:-1], cuts[1:])])
 
     def finish(key: tuple, answers: pa.Table, docs: pa.Table) -> pa.Table:
         part = Part(docs)
         keys, _ = distinct(part)
         got = dict(zip(answers.column("source").to_pylist(), answers.column("counts").to_pylist()))
-        counts = [unpack_columns(got[b], (np.uint32,))[0] for b in sorted(got)]
-        counts = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
+        counts = [unpack_counts(got[b]) for b in sorted(got)]
+        counts = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         if len(counts) != len(keys):
             raise ValueError("a part changed between its two readings")
         return use(part, lambda k: counts[np.searchsorted(keys, k >> shift)] if len(keys) else np.zeros(len(k), np.int64))
