@@ -34,7 +34,8 @@ class Mapping:
     """How one layout becomes turns. shape: nested fields, lists as one-element lists, leaves as None.
 
     ``turns`` names the list of messages with its role and text fields; else ``fields`` gives a role to
-    each top-level field. ``roles`` renames roles.
+    each top-level field; else, of a table with a row for each turn, ``keys`` names the columns of the
+    conversation and the turn. ``roles`` renames roles.
     """
 
     name: str
@@ -44,6 +45,7 @@ class Mapping:
     text: str = "content"
     fields: tuple[tuple[str, str], ...] = ()
     roles: dict = field(default_factory=dict)
+    keys: tuple[str, str] | None = None
 
     @property
     def fingerprint(self) -> str:
@@ -69,7 +71,11 @@ def fingerprint(found: list[str]) -> str:
     return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
 
 
-TURN_ROWS = Mapping("turn rows", {"conv_id": None, "turn": None, "role": None, "text": None})
+#: Of tables with a row for each turn.
+TABLE_MAPPINGS = (
+    Mapping("turn rows", {"conv_id": None, "turn": None, "role": None, "text": None}, text="text", keys=("conv_id", "turn")),
+    Mapping("from and value rows", {"conv_id": None, "turn": None, "from": None, "value": None}, role="from", text="value", keys=("conv_id", "turn"), roles={"human": "user", "gpt": "assistant"}),
+)
 MAPPINGS = (
     Mapping("messages", {"messages": [{"content": None, "role": None}]}, turns="messages"),
     Mapping("conversations", {"conversations": [{"from": None, "value": None}]}, turns="conversations", role="from", text="value", roles={"human": "user", "gpt": "assistant"}),
@@ -102,15 +108,26 @@ def json_fingerprint(record: Column) -> Column:
     return F.md5(F.array_join(F.array_sort(found), "\n").cast("binary"))
 
 
+def _renamed(role: Column, m: Mapping) -> Column:
+    return F.coalesce(*[F.when(role == a, F.lit(b)) for a, b in m.roles.items()], role)
+
+
+def turn_rows(df: DataFrame, mappings: tuple[Mapping, ...] = TABLE_MAPPINGS) -> DataFrame:
+    """``conv_id, turn, role, text`` by the mapping that the fingerprint of the table's schema selects."""
+    m = {m.fingerprint: m for m in mappings}.get(fingerprint(paths(schema_shape(df.schema))))
+    if m is None:
+        raise ValueError("no mapping for these fields")
+    conv, turn = m.keys
+    return df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), _renamed(F.col(m.role), m).alias("role"), F.col(m.text).alias("text"))
+
+
 def _made(record: Column, m: Mapping) -> Column:
     """The turns of a record in the layout of m."""
     if not m.turns:
         return F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(F.try_variant_get(record, f"$.{f}", "string"), F.lit("")).alias("text")) for f, r in m.fields])
 
     def turn(i: Column) -> Column:
-        role = i[m.role]
-        renamed = F.coalesce(*[F.when(role == a, F.lit(b)) for a, b in m.roles.items()], role, F.lit(""))
-        return F.struct(renamed.alias("role"), F.coalesce(i[m.text], F.lit("")).alias("text"))
+        return F.struct(F.coalesce(_renamed(i[m.role], m), F.lit("")).alias("role"), F.coalesce(i[m.text], F.lit("")).alias("text"))
 
     return F.transform(F.try_variant_get(record, f"$.{m.turns}", f"array<struct<`{m.role}`:string,`{m.text}`:string>>"), turn)
 
@@ -152,8 +169,6 @@ def format_turns(df: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn
     and its length.
     """
     x = df.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(F.col(role_col).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    if fingerprint(paths(schema_shape(x.schema))) != TURN_ROWS.fingerprint:
-        raise ValueError("no mapping for these fields")
     one = F.struct("turn", "role", "text")
     x = x.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("t"))
     head = lambda t: F.concat(F.lit(BEFORE_ROLE), escape(t["role"]), F.lit(AFTER_ROLE))

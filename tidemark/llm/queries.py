@@ -23,7 +23,7 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = chat_format.turn_rows(table(spark, sf_dir, "conversations"))
     rows = rows.unionByName(spark.sql(CONTROL_ROWS))
     return chat_format.digest(chat_format.format_turns(rows))
 
