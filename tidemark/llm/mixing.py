@@ -53,14 +53,18 @@ def apportion(parties: DataFrame, scope: list[str], key: list[str], weight: str,
     """Seats by highest quotients (Sainte-Lague) within each scope; ties go to the smaller key.
 
     Rounding each ideal share leaves a surplus or a gap of at most half a seat a party; the quotients
-    next to the rounded shares settle it, so that no row is made for a seat.
+    next to the rounded shares settle it, so that no row is made for a seat. With n parties, the shares
+    of n / 2 seats more (or fewer) round to as many seats as there are at least (at most). So no party
+    moves further than its share of n / 2 seats, rounded up, and all have 2.5 n rows at most; nor does
+    it by more than the gap. One quotient goes beyond, for shares that double arithmetic puts next to a half.
     """
     every = Window.partitionBy(*scope) if scope else Window.partitionBy(F.lit(0))
     cols = parties.columns
     share = F.coalesce(F.try_divide(F.col(weight) * F.col(seats), F.sum(weight).over(every)), F.lit(0.0))
     x = parties.withColumn("_base", F.floor(share + 0.5).cast("long")).withColumn("_gap", F.col(seats) - F.sum("_base").over(every))
-    reach = F.ceil(F.abs("_gap") * F.col("_base") / F.greatest(F.col(seats), F.lit(1))).cast("long") + 1
-    x = x.withColumn("_k", F.explode(F.sequence(F.lit(0), reach)))
+    most = F.ceil(F.coalesce(F.try_divide(F.col(weight) * F.count("*").over(every), 2 * F.sum(weight).over(every)), F.lit(0.0))).cast("long")
+    x = x.withColumn("_reach", F.least(most, F.greatest(F.abs("_gap") - 1, F.lit(0)).cast("long")))
+    x = x.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), "_reach")))
     quotient = F.when(F.col("_gap") >= 0, -F.col(weight) / (2 * (F.col("_base") + F.col("_k")) + 1)).when(F.col("_k") < F.col("_base"), F.col(weight) / (2 * (F.col("_base") - F.col("_k")) - 1))
     order = every.orderBy(F.col("_q").asc_nulls_last(), *[F.when(F.col("_gap") >= 0, F.col(k)).asc() for k in key], *[F.col(k).desc() for k in key], "_k")
     x = x.withColumn("_q", quotient).withColumn("_rank", F.row_number().over(order))
