@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +33,7 @@ def span_view(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a binary or string column and its n + 1 offsets, without a copy; nulls are empty."""
     col = col.cast(pa.large_binary())
     if col.null_count:
-        col = pa.compute.fill_null(col, b"")
+        col = pc.fill_null(col, b"")
     n = len(col)
     if not n:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
@@ -92,6 +95,46 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_KEPT = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 256
+
+
+def lanes(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one little-endian number; zeros follow the end."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
+def hash_spans(raw: np.ndarray, a: np.ndarray, b: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A hash of each span raw[a:b], eight bytes a step. Every step mixes all 64 bits, so that no two patterns cancel as they may in sums of powers."""
+    n = b - a
+    view = lanes(raw)
+    h = mix64(n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+    live = np.flatnonzero((n > 0) & (n <= LONG_SPAN))
+    at = 0
+    while len(live):
+        left = n[live] - at
+        h[live] = mix64(h[live] ^ (view[a[live] + at] & _KEPT[np.minimum(left, 8)]))
+        live, at = live[left > 8], at + 8
+    for i in np.flatnonzero(n > LONG_SPAN).tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(raw[a[i] : b[i]], digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def equal_spans(raw: np.ndarray, a: np.ndarray, n: np.ndarray, other: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether raw[a : a + n] and other[b : b + n] are the same bytes, for each place."""
+    x, y = lanes(raw), lanes(other)
+    out = np.ones(len(a), bool)
+    live, at = np.flatnonzero(n > 0), 0
+    while len(live):
+        left = n[live] - at
+        same = (x[a[live] + at] ^ y[b[live] + at]) & _KEPT[np.minimum(left, 8)] == 0
+        out[live[~same]] = False
+        live, at = live[same & (left > 8)], at + 8
+    return out
+
+
 def pack_columns(*columns: np.ndarray) -> bytes:
     """Arrays of one length as their byte planes, one after another."""
     return b"".join(np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns)

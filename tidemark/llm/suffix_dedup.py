@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import concat_columns, mix64, pack_columns, shuffle_parts, span_view, split_by, utf8
+from .common import concat_columns, hash_spans, lanes, mix64, pack_columns, shuffle_parts, span_view, split_by, utf8
 
 THRESHOLD = 100
 MER = 40
@@ -106,7 +107,7 @@ def runs(raw: np.ndarray, at: np.ndarray, threshold: int = THRESHOLD, mer: int =
                 q = np.clip(r + shift, 0, len(first) - 1)
                 inner[q[key[q] == mers[place[follows]]]] = 1
     text = np.searchsorted(at, first, "right") - 1
-    content = mix64((total[last + threshold] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    content = hash_spans(raw, first, last + threshold)
     return {"key": key, "content": content, "text": text, "start": first - at[text], "windows": last - first + 1, "inner": inner}
 
 
@@ -213,7 +214,7 @@ def _rows(found: list[tuple[int, int, bytes, bytes]]) -> pa.Table:
 
 
 def _blobs(table: pa.Table, kind: int, column: str = "payload") -> list[bytes]:
-    return table.filter(pa.compute.equal(table.column("kind"), kind)).column(column).to_pylist()
+    return table.filter(pc.equal(table.column("kind"), kind)).column(column).to_pylist()
 
 
 class _Part:
@@ -272,13 +273,16 @@ def _candidates(part: int, doc, rows: dict[str, np.ndarray], buckets: int, kind:
 
 
 def _window_hashes(raw: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window."""
-    up, down = _powers(len(raw) + 1)
+    """Two independent hashes of every window, eight bytes a step; the last step overlaps the one before it."""
+    n = len(raw) - size + 1
+    view = lanes(raw)
+    steps = [*range(0, size - 7, 8), size - 8] if size >= 8 else [0]
     out = []
-    for table in (_TABLE, mix64(_TABLE)):
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(table[raw] * up[: len(raw)], out=total[1:])
-        out.append(mix64((total[size:] - total[:-size]) * down[: len(raw) - size + 1]))
+    for seed in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        h = np.full(n, seed, np.uint64)
+        for k in steps:
+            h = mix64(h ^ (view[k : k + n] if size >= 8 else view[:n] & np.uint64((1 << 8 * size) - 1)))
+        out.append(h)
     return out[0], out[1]
 
 
