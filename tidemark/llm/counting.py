@@ -17,19 +17,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, pack_columns, pack_sorted, shuffle_parts, span_view, unpack_columns, unpack_sorted, utf8
+from .common import hash_spans, mix64, pack_columns, pack_sorted, shuffle_parts, span_view, unpack_columns, unpack_sorted, utf8
 
 _DDL = "to int, source int, keys binary, counts binary"
 _TYPES = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
 NULL_ID = -(1 << 63)
 
-_BASE = 0xD1B54A32D192ED03
-_TABLE = mix64(np.arange(3, 259, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = True
-_POWERS: list[np.ndarray] = []
 CHUNK = 1_000_000
 #: Stands for a count of 32 bits or more, which is given by itself.
 WIDE = (1 << 32) - 1
@@ -62,12 +59,6 @@ class Words:
     @staticmethod
     def _hash(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         n = len(raw)
-        if not _POWERS or len(_POWERS[0]) <= n:
-            size = 1 << (n + 1).bit_length()
-            up, down = np.ones(size, np.uint64), np.ones(size, np.uint64)
-            up[1:], down[1:] = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-            _POWERS[:] = [np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)]
-        up, down = _POWERS
         raw = _LOWER[raw]
         inside = ~_GAP[raw]
         begins = inside.copy()
@@ -75,9 +66,7 @@ class Words:
         ends = inside.copy()
         ends[:-1] &= ~inside[1:] | begins[1:]
         a, b = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLE[raw] * up[:n], out=total[1:])
-        return mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), a
+        return hash_spans(raw, a, b), a
 
     def chained(self, n: int) -> np.ndarray:
         """A hash of n neighbours for each place where n - 1 words follow."""
