@@ -1,13 +1,14 @@
 """Best-fit packing of tokenized documents into sequences.
 
 ``pieces`` tokenizes whole texts; an end id follows each document; what is longer than a sequence is cut
-into full sequences and a rest. ``pack`` deals the pieces over shards of bounded size and packs each
-shard by best-fit decreasing: a segment tree over remaining capacities finds the tightest open sequence
+into full sequences and a rest. ``pack`` deals the pieces by their ids over shards of bounded size, so that
+reruns agree however the input is partitioned, and packs each shard by best-fit decreasing: a segment tree over remaining capacities finds the tightest open sequence
 in logarithmic time for each piece.
 
 The tokenizer lower-cases, splits at fixed character classes and encodes each word by itself, so a word's
-ids are kept in a bounded cache, and only new words are encoded. That path takes texts within Latin-1;
-any other text is encoded by the tokenizer as a whole. Both give the tokenizer's own ids.
+ids are kept in a bounded cache, and only new words are encoded; a hash finds a word there, and its bytes
+are compared. That path takes what is within Latin-1; any other stretch between white space is encoded by
+the tokenizer itself. Both give the tokenizer's own ids.
 
 Defined results: a null or empty text is the end id alone. Repeated rows are packed as rows of their own.
 An empty table packs into no sequences.
@@ -16,17 +17,19 @@ An empty table packs into no sequences.
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, mix64, utf8
+from .common import cut_lineage, equal_spans, hash_spans, utf8
 
 LENGTH = 4096
 END_ID = 1
@@ -49,17 +52,23 @@ def _classes() -> np.ndarray:
 
 CLASSES = _classes()
 LOWER = bytes(ord(chr(b).lower()) if len(chr(b).lower()) == 1 and ord(chr(b).lower()) < 256 else b for b in range(256))
-BASE = 0x9E3779B97F4A7C15
-_LETTERS_64 = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
+_STRETCHES = re.compile(r"[^ \n\t\r]+")
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = np.uint64(BASE), np.uint64(pow(BASE, -1, 1 << 64))
-    ones = np.ones(n, np.uint64)
-    up, down = ones.copy(), ones
-    up[1:], down[1:] = base, inverse
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+def _latin(text: str) -> bytes:
+    """The text in Latin-1, if it takes the fast path; else a ValueError (UnicodeEncodeError is one)."""
+    raw = text.encode("latin-1")
+    if b"<|" in raw or len(raw.translate(None, b"\x1c\x1d\x1e\x1f")) != len(raw):
+        raise ValueError
+    return raw
+
+
+def _is_odd(text: str) -> bool:
+    try:
+        _latin(text)
+    except ValueError:
+        return True
+    return False
 
 
 class WordEncoder:
@@ -80,29 +89,38 @@ class WordEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known, self.at, self.n = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.at, self.n, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.uint32)
+        self.text, self.text_at = np.zeros(0, np.uint8), np.zeros(0, np.int64)  # the words themselves, as a hash may be shared
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
-        plain, odd, held = [], [], 0
+        plain, held = [], 0
+        mixed: dict[int, list] = {}
         for i, raw in enumerate(texts):
             text = raw.decode("utf-8", "replace")
             try:
-                if "<|" in text or len(raw.translate(None, b"\x1c\x1d\x1e\x1f")) != len(raw):
-                    raise ValueError
-                plain.append((i, text.encode("latin-1")))
-                held += len(raw)
-            except ValueError:  # UnicodeEncodeError is one
-                odd.append((i, text))
+                plain.append((i, _latin(text)))
+            except ValueError:
+                # white space parts words for the tokenizer too: what it must see as a whole are the stretches between
+                mixed[i] = []
+                for odd, own in groupby(_STRETCHES.findall(text), _is_odd):
+                    if odd:
+                        mixed[i] += own
+                    else:
+                        out.append(None)
+                        mixed[i].append(len(out) - 1)
+                        plain.append((len(out) - 1, _latin(" ".join(own))))
+            held += len(raw)
             if held >= CHUNK:
                 self._plain(plain, out)
                 plain, held = [], 0
         self._plain(plain, out)
-        if odd:
-            for (i, _), e in zip(odd, self.whole.encode_batch([t for _, t in odd], add_special_tokens=False)):
-                out[i] = np.array(e.ids, np.uint32)
-        return out
+        odd = list({x for own in mixed.values() for x in own if isinstance(x, str)})
+        ids = dict(zip(odd, (np.array(e.ids, np.uint32) for e in self.whole.encode_batch(odd, add_special_tokens=False)))) if odd else {}
+        for i, own in mixed.items():
+            out[i] = np.concatenate([ids[x] if isinstance(x, str) else out[x] for x in own]) if own else np.zeros(0, np.uint32)
+        return out[: len(texts)]
 
     def _plain(self, texts: list[tuple[int, bytes]], out: list) -> None:
         """Puts the ids of Latin-1 texts in their places; a long text goes in parts that end at white space."""
@@ -137,16 +155,17 @@ class WordEncoder:
         edge = np.flatnonzero(start | ((kind == _SPACE) & (was != _SPACE)))
         first = np.flatnonzero(start[edge])
         a, b = edge[first], edge[first + 1] if len(first) else edge[:0]
-        size = 1 << (len(raw) + 1).bit_length()
-        up, down = _powers(max(size, 1 << 21))
-        total = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum(_LETTERS_64[raw] * up[: len(raw)], out=total[1:])
-        h = mix64((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-        keys, example, place = np.unique(h, return_index=True, return_inverse=True)
+        keys, example, place = np.unique(hash_spans(raw, a, b), return_index=True, return_inverse=True)
         word = self._look_up(keys, buf, a[example], b[example])[place]
-        n = self.n[word]
+        n, at, pool = self.n[word], self.at[word], self.pool
+        wrong = np.flatnonzero((self.size[word] != b - a) | ~equal_spans(raw, a, np.minimum(b - a, self.size[word]), self.text, self.text_at[word]))
+        if len(wrong):  # words that share a hash with another one
+            own = [e.ids for e in self.words.encode_batch([buf[x:y].decode("latin-1") for x, y in zip(a[wrong].tolist(), b[wrong].tolist())], add_special_tokens=False)]
+            n[wrong] = [len(e) for e in own]
+            at[wrong] = len(pool) + np.cumsum(n[wrong]) - n[wrong]
+            pool = np.concatenate([pool, np.array([i for e in own for i in e], np.uint32)])
         stop = np.cumsum(n)
-        ids = self.pool[np.repeat(self.at[word] - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
+        ids = pool[np.repeat(at - (stop - n), n) + np.arange(stop[-1] if len(stop) else 0)]
         edges = np.cumsum([0, *(len(t) + 1 for t in texts)])
         cuts = np.concatenate(([0], stop))[np.searchsorted(a, edges)]
         return [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:])]
@@ -183,6 +202,10 @@ class WordEncoder:
             self.known = np.insert(self.known, at[new], keys[new])
             self.n = np.insert(self.n, at[new], stop - begin)
             self.at = np.insert(self.at, at[new], begin + len(self.pool))
+            size = (b - a)[new]
+            self.size = np.insert(self.size, at[new], size)
+            self.text_at = np.insert(self.text_at, at[new], np.cumsum(size) - size + len(self.text))
+            self.text = np.concatenate((self.text, np.frombuffer(b"".join(buf[x:y] for x, y in zip(a[new].tolist(), b[new].tolist())), np.uint8)))
             self.pool = np.concatenate((self.pool, ids))
             at = np.searchsorted(self.known, keys)
         return at
@@ -278,7 +301,8 @@ def pack(cut: DataFrame, length: int = LENGTH, shard_pieces: int = SHARD_PIECES)
     """Adds ``sequence_id`` and ``offset`` to pieces. Pieces are cut before, once, as they are counted and then read."""
     cut = cut_lineage(cut)
     shards = max(1, -(-cut.count() // shard_pieces))
-    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards)))
+    own = F.coalesce(F.col("doc_id"), F.monotonically_increasing_id())  # rows without an id are many pieces, not one
+    dealt = cut.withColumn("_shard", F.pmod(F.xxhash64(own, "piece", "ids_crc32"), F.lit(shards)))
     names = [*cut.columns, "sequence_id", "offset"]
 
     def run(group: pa.Table) -> pa.Table:
