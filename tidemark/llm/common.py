@@ -165,7 +165,11 @@ def split_by(labels: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 
 def let_go(spark: SparkSession) -> None:
-    """Has the driver's JVM look for shuffles that nothing refers to any more, so that their files go."""
+    """Has the driver's JVM look for shuffles that nothing refers to any more, so that their files go.
+
+    Spark removes a shuffle's files only then. After a checkpoint of a result as large as its input they would
+    stay on the executors' disks until the driver's heap fills up by itself.
+    """
     import gc
 
     gc.collect()
@@ -178,7 +182,6 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     Large and small stars in turn, until the edges stay as they are. Each step groups by node with partial
     minima and joins these back, so that a node with very many edges is split like any skewed join.
     """
-    spark = edges.sparkSession
     e = cut_lineage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     was = None
     for _ in range(rounds):
@@ -194,6 +197,5 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         was = now
     else:
         raise RuntimeError("components did not settle")
-    let_go(spark)
     least = e.groupBy("u").agg(F.min("v").alias("v"))
     return least.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(least.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())

@@ -6,20 +6,24 @@ A document's set holds its distinct 5-word shingles. Two documents link where 10
    document whose shared ones are too few for any link is out. The others order their shared shingles
    from rare to frequent; two sets that link have one in common among the first few (prefix filter, where
    the unshared ones count as the rarest).
-2. Equal sets are one class. Classes that have a prefix shingle in common, directly or by others, form a
-   group; links never leave a group.
-3. A group of more than ``large`` classes is thinned first, by tasks of bounded size: all its sets are compared
-   with one of them, the pivot. Those that link with it are connected by that; of these, one nearer to the
-   pivot than the nearest other set less the threshold can't link with any other set, as Jaccard distance
-   obeys the triangle inequality, and leaves the group. What is left of it goes round again, three times at most.
-4. Within a group, lists of prefix shingles hold sets by size, so that blocks of other sizes are skipped,
+2. Equal sets are one class. A prefix shingle's list holds its classes by size. At the first shingle that two
+   linked sets have in common, its place in each bounds the size of the other, so neighbours in the list whose
+   sizes and places allow a link are chained, and the others are not. Chains give groups, which links never
+   leave. A task sends one class on for each size of a list, so a shingle that very many classes have is
+   split and not gathered.
+3. Within a group, lists of prefix shingles hold sets by size, so that blocks of other sizes are skipped,
    and of the rest those whose positions leave too few shingles to share. When a set has been compared with
    all others, the answers of a set similar to it come from those: what lies further from the first than
    the threshold and the two sets' distance is skipped, as is what is connected already.
+4. A group of more than ``large`` classes (or ``heavy`` bytes) is cut into cells by size and hash, of about so many
+   classes each. All cells are compared with a few pivots; of what these connect, the largest part needs no
+   comparison within itself. What is left of the group is compared, cell by cell, with all cells whose sizes
+   are near. So no task ever holds more than two cells.
 
 Defined results: a text without words, or null, has an empty set, links with nothing and is its own
 component; one with fewer than five words has its whole sequence as its one shingle. Copies are one
-class. A null id is its own component unless its text links it to others.
+class. A null id counts as the smallest id, and a component that holds one has a null component id. Rows
+that share an id are rows of their own.
 """
 
 from __future__ import annotations
@@ -31,16 +35,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut_lineage, let_go, mix64, pack_columns, shuffle_parts, split_by, unpack_columns
+from .common import components, concat_columns, cut_lineage, let_go, mix64, pack_columns, shuffle_parts, split_by
 from .counting import NULL_ID, Part, with_counts
 
 WORDS = 5
 PERCENT = 75
 #: Hash bits for counting documents a shingle. Two shingles that meet only seem shared, which loses nothing.
 COUNT_BITS = 48
-#: Classes of a group that one task may compare without thinning, and rounds of thinning.
+#: Classes, and bytes of their shingles, that one cell holds on average, and rounds of pivots.
 LARGE = 1_000
-ROUNDS = 3
+HEAVY = 16_000_000
+ROUNDS = 2
+#: Sizes of linked sets differ by 4/3 at most, so by one step of this at most.
+SIZE_STEP = 1.34
 
 
 def shingles(part: Part, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -71,15 +78,16 @@ def least_overlap(n: np.ndarray | int, percent: int = PERCENT):
     return -(-percent * n // 100)
 
 
-def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], percent: int = PERCENT) -> np.ndarray:
+def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], percent: int = PERCENT, start: np.ndarray | None = None) -> np.ndarray:
     """For each set the number of the first set that links lead to.
 
     sets: shared shingles, rare ones first; sizes count the unshared ones too; the first ``prefix`` ones are indexed.
+    Sets with one ``start`` are connected already.
     """
     m = len(sets)
     label = np.full(m, -1)
     size = np.array(sizes, np.int64)
-    if m == 2:
+    if m == 2 and start is None:
         both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
         linked = 100 * both >= percent * (size.sum() - both)
         return np.array([0, 0 if linked else 1])
@@ -125,12 +133,18 @@ def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], per
         # what stands before the two places may be shared as well, where the token isn't the first one in common
         return np.unique(list_set[e[left + np.minimum(p, list_position[e]) >= need]])
 
+    def take(found: np.ndarray, seed: int) -> list[int]:
+        """Puts sets, and what is connected with them already, into the seed's component."""
+        if start is not None and len(found):
+            found = np.flatnonzero(free & np.isin(start, start[found]))
+        free[found], label[found] = False, seed
+        return found.tolist()
+
     slack = 1 - percent / 100 + 1e-9
     for seed in range(m):
         if not free[seed]:
             continue
-        free[seed], label[seed] = False, seed
-        queue, far, own = [seed], None, 0
+        queue, far, own = take(np.array([seed]), seed), None, 0
         while queue:
             y = queue.pop()
             own += 1
@@ -140,9 +154,7 @@ def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], per
                 members = np.flatnonzero(label == seed)
                 far[members] = distance(seed, members)[0]
                 far[rest], linked = distance(seed, rest)
-                reached = rest[linked]
-                free[reached], label[reached] = False, seed
-                queue += reached.tolist()
+                queue += take(rest[linked], seed)
             if far is not None:
                 found = np.flatnonzero(free & (far <= slack + far[y]))
                 if len(found) > 64:
@@ -150,43 +162,110 @@ def link_groups(sets: list[np.ndarray], prefix: list[int], sizes: list[int], per
             else:
                 found = candidates(y)
             if len(found):
-                found = found[distance(y, found)[1]]
-                free[found], label[found] = False, seed
-                queue += found.tolist()
+                queue += take(found[distance(y, found)[1]], seed)
     return label
 
 
-def thin(sets: DataFrame, percent: int, large: int) -> tuple[DataFrame, DataFrame]:
-    """One round over large groups: what is left of them, and the links ``a, b`` between classes that were found.
+def chains(key: np.ndarray, n: np.ndarray, most: np.ndarray, owner: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of owners that keep together, within each key's list, all that may link by it.
 
-    The pivot is the set with the least unshared, so likely the one that others were made from. It goes to
-    each of the group's slices, which hold ``large`` sets on average.
+    ``most`` is the largest set that an entry's place allows. The smaller one of a linked pair allows for the larger,
+    so it is among those with ``most >= n``. These stand by size, each chained to the one before it if sizes allow; any
+    other is chained to the largest one of these that it allows for. Sizes between those of a linked pair allow links with
+    both, so a chain that parts does so where no link leads.
     """
-    order = F.struct((F.col("prefix") / F.col("n")).alias("q"), F.col("cls").alias("c"))
-    pivots = sets.groupBy("grp").agg(F.max_by(F.struct("cls", "n", "tokens"), order).alias("pivot"), F.ceil(F.count("*") / large).cast("int").alias("slices"))
-    sliced = sets.join(pivots.select("grp", "slices"), "grp").withColumn("slice", F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int")).drop("slices")
-    sent = pivots.select(F.col("grp").alias("to_grp"), "pivot", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("to_slice"))
-    kept = ["grp", "cls", "rep", "h1", "h2", "n", "prefix", "tokens"]
-
-    def compare(key: tuple, members: pa.Table, pivot: pa.Table) -> pa.Table:
-        own = pivot.column("pivot")[0].as_py()
-        base = np.frombuffer(own["tokens"], np.uint64)
-        sizes = members.column("n").to_numpy()
-        both = np.array([len(np.intersect1d(base, np.frombuffer(t, np.uint64), assume_unique=True)) for t in members.column("tokens").to_pylist()], np.int64)
-        union = sizes + own["n"] - both
-        out = members.select(kept)
-        for name, x in (("pivot", np.full(len(sizes), own["cls"])), ("far", 1 - both / union), ("linked", 100 * both >= percent * union)):
-            out = out.append_column(name, pa.array(x))
-        return out
-
-    ddl = "grp long, cls long, rep long, h1 long, h2 long, n long, prefix int, tokens binary, pivot long, far double, linked boolean"
-    x = cut_lineage(sliced.groupBy("grp", "slice").cogroup(sent.groupBy("to_grp", "to_slice")).applyInArrow(compare, ddl))
-    nearest = x.where("not linked").groupBy("grp").agg(F.min("far").alias("nearest"))
-    left = x.join(nearest, "grp").where(~F.col("linked") | (F.col("far") >= F.col("nearest") - (1 - percent / 100) - 1e-9)).select(kept)
-    return cut_lineage(left), x.where("linked and cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b"))
-
-
-def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, large: int = LARGE) -> DataFrame:
+    top = np.minimum(n, most)
+    small = np.flatnonzero(most >= n)
+    small = small[np.lexsort((owner[small], n[small], key[small]))]
+    other = np.flatnonzero(most < n)
+    names, code = np.unique(key, return_inverse=True)
+    span = int(n.max(initial=0)) + 1
+    place = code.astype(np.int64)[small] * span + n[small]
+    x, y = small[:-1], small[1:]
+    near = (key[x] == key[y]) & (n[x] >= least_overlap(n[y], percent))
+    at = np.searchsorted(place, code.astype(np.int64)[other] * span + top[other], "right") - 1
+    other, at = other[at >= 0], at[at >= 0]
+    found = small[at]
+    fits = (key[found] == key[other]) & (n[found] >= least_overlap(n[other], percent)) if len(found) else np.zeros(0, bool)
+    return np.concatenate([owner[x[near]], owner[found[fits]]]), np.concatenate([owner[y[near]], owner[other[fits]]])
+
+
+def thinned(key: np.ndarray, n: np.ndarray, most: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """The first entry of each key, size and bound, and pairs that tie the others to it."""
+    top = np.minimum(n, most)
+    o = np.lexsort((owner, most < n, top, n, key))
+    new = np.ones(len(o), bool)
+    if len(o):
+        new[1:] = np.any([c[o][1:] != c[o][:-1] for c in (key, n, top, most < n)], axis=0)
+    first = np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))
+    tied = owner[o] != owner[o][first]
+    return o[new], (owner[o][first][tied], owner[o][tied])
+
+
+def settle_large(hot: DataFrame, percent: int, large: int, heavy: int) -> DataFrame:
+    """Links ``a, b`` that connect what links connect in large groups: ``grp, cls, n, prefix, tokens``."""
+
+    def parted(rows: DataFrame, name: str, salt: int) -> tuple[DataFrame, DataFrame]:
+        """Rows with their cell's number among those of their group and size, and how many of these there are."""
+        parts = F.ceil(F.greatest(F.count("*") / large, F.sum(F.length("tokens")) / heavy)).cast("int").alias(name)
+        cells = cut_lineage(rows.groupBy("grp", "bin").agg(parts))
+        return rows.join(cells, ["grp", "bin"]).withColumn(name, F.pmod(F.xxhash64("cls", F.lit(salt)), F.col(name)).cast("int")), cells
+
+    def spread(cells: DataFrame, name: str) -> DataFrame:
+        """A row for each cell and each size step whose sets may link with it."""
+        x = cells.select("grp", F.col("bin").alias(f"{name}_bin"), F.explode(F.sequence(F.lit(0), F.col(name) - 1)).alias(name))
+        return x.withColumn("bin", F.explode(F.array(*[F.col(f"{name}_bin") + k for k in (-1, 0, 1)])))
+
+    hot = cut_lineage(hot.withColumn("bin", F.floor(F.log("n") / float(np.log(SIZE_STEP))).cast("int")))
+    dealt, cells = parted(hot, "cell", 1)
+    dealt = cut_lineage(dealt)
+    order = F.struct((F.col("prefix") / F.col("n")).alias("q"), F.col("cls").alias("c"))  # least unshared, so likely what others were made from
+
+    def compare(key: tuple, members: pa.Table, pivots: pa.Table) -> pa.Table:
+        a, b = [], []
+        ids, sizes, raw = members.column("cls").to_numpy(), members.column("n").to_numpy(), members.column("tokens").to_pylist()
+        for p in pivots.column("pivot").to_pylist():
+            base = np.sort(np.frombuffer(p["tokens"], np.uint64))
+            both = np.array([np.isin(np.frombuffer(t, np.uint64), base, assume_unique=True).sum() for t in raw], np.int64)
+            linked = (100 * both >= percent * (sizes + p["n"] - both)) & (ids != p["cls"])
+            a.append(ids[linked])
+            b.append(np.full(int(linked.sum()), p["cls"]))
+        return pa.table({"a": np.concatenate(a) if a else np.zeros(0, np.int64), "b": np.concatenate(b) if b else np.zeros(0, np.int64)})
+
+    found, rest = None, dealt
+    for _ in range(ROUNDS):
+        pivots = rest.groupBy("grp", "bin").agg(F.max_by(F.struct("cls", "n", "tokens"), order).alias("pivot"))
+        sent = pivots.join(spread(cells, "cell").withColumnRenamed("cell_bin", "to_bin"), ["grp", "bin"]).select(F.col("grp").alias("to_grp"), "to_bin", F.col("cell").alias("to_cell"), "pivot")
+        links = cut_lineage(dealt.groupBy("grp", "bin", "cell").cogroup(sent.groupBy("to_grp", "to_bin", "to_cell")).applyInArrow(compare, "a long, b long"))
+        found = links if found is None else found.unionByName(links)
+        labels = cut_lineage(components(found))
+        named = dealt.join(labels.select(F.col("id").alias("cls"), F.col("component").alias("start")), "cls", "left").withColumn("start", F.coalesce("start", "cls"))
+        main = named.groupBy("grp", "start").agg(F.count("*").alias("c")).groupBy("grp").agg(F.max_by("start", F.struct("c", "start")).alias("main"))
+        named = cut_lineage(named.join(main, "grp"))
+        rest = named.where("start <> main")
+        if rest.groupBy("grp").count().where(F.col("count") > large).isEmpty():
+            break
+    asking, lots = parted(rest, "lot", 2)
+    # each cell of what is left with each cell of near sizes
+    kept = ["cls", "n", "prefix", "tokens", "start"]
+    pairs = spread(lots, "lot").join(spread(cells, "cell").select("grp", F.col("cell_bin").alias("bin"), "cell").distinct(), ["grp", "bin"])
+    pairs = cut_lineage(pairs.select("grp", "lot_bin", "lot", F.col("bin").alias("cell_bin"), "cell"))
+    task = ["grp", "lot_bin", "lot", "cell_bin", "cell"]
+    one = asking.withColumnRenamed("bin", "lot_bin").drop("cell").join(pairs, ["grp", "lot_bin", "lot"]).select(*task, *kept)
+    two = named.withColumnRenamed("bin", "cell_bin").join(pairs, ["grp", "cell_bin", "cell"]).select(*task, *kept)
+
+    def cross(table: pa.Table) -> pa.Table:
+        cls, n, prefix, start = (table.column(c).to_numpy() for c in ("cls", "n", "prefix", "start"))
+        cls, own = np.unique(cls, return_index=True)
+        tokens, start = table.column("tokens").take(pa.array(own)).to_pylist(), start[own]
+        label = link_groups([np.frombuffer(t, np.uint64) for t in tokens], prefix[own].tolist(), n[own].tolist(), percent, start)
+        pairs = np.unique(np.stack([start, start[label]], 1)[start != start[label]], axis=0)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return found.unionByName(one.unionByName(two).groupBy(*task).applyInArrow(cross, "a long, b long"))
+
+
+def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, large: int = LARGE, heavy: int = HEAVY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for each row."""
     spark = df.sparkSession
     buckets = 2 * shuffle_parts(spark)
@@ -222,75 +301,67 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     rows = cut_lineage(with_counts(df, keys_of, use, "id long, n long, h1 long, h2 long, prefix int, tokens binary", id_col, text_col, COUNT_BITS))
     let_go(spark)
     name = ["h1", "h2", "n"]
-    # rows of one id in one part: the class is known by its smallest id
-    heads = F.substring("tokens", F.lit(1), F.col("prefix") * 8)
-    classes = cut_lineage(rows.where("prefix > 0").groupBy(*name).agg(F.min("id").alias("rep"), F.first(heads, ignorenulls=True).alias("heads")))
+    # each class has a number of its own, given before the checkpoint that all else reads
+    heads = F.struct(F.substring("tokens", F.lit(1), F.col("prefix") * 8).alias("heads"), F.col("prefix").alias("prefix"), (F.length("tokens") / 8).cast("int").alias("shared"))
+    classes = rows.where("prefix > 0").groupBy(*name).agg(F.min("id").alias("rep"), F.first(F.when(F.col("tokens").isNotNull(), heads), ignorenulls=True).alias("own"))
+    classes = cut_lineage(classes.withColumn("cls", F.monotonically_increasing_id()).select("cls", *name, "rep", "own.*"))
+    entry, pair = (np.uint64, np.int64, np.int64, np.int64), (np.int64, np.int64)
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lists' entries to their buckets; and the pairs that stand for those left out, to buckets below 0."""
         for batch in batches:
-            ids, raw = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-            key = np.frombuffer(b"".join(raw), np.uint64)
-            owner = np.repeat(ids, [len(r) // 8 for r in raw])
-            found = split_by((key % np.uint64(buckets)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([pack_columns(key[x], owner[x]) for _, x in found], pa.binary())], names=["bucket", "payload"])
+            ids, n, shared = (batch.column(c).to_numpy() for c in ("cls", "n", "shared"))
+            raw = batch.column("heads").to_pylist()
+            count = np.array([len(r) // 8 for r in raw], np.int64)
+            key, owner = np.frombuffer(b"".join(raw), np.uint64), np.repeat(ids, count)
+            own = np.repeat(n, count)
+            place = np.arange(len(key)) - np.repeat(np.cumsum(count) - count, count) + own - np.repeat(shared, count)
+            most = (100 + percent) * (own - place) // percent - own
+            o, tied = thinned(key, own, most, owner)
+            key, own, most, owner = key[o], own[o], most[o], owner[o]
+            found = [(b, pack_columns(key[x], own[x], most[x], owner[x])) for b, x in split_by((key % np.uint64(buckets)).astype(np.int64))]
+            found += [(-1 - b, pack_columns(tied[0][x], tied[1][x])) for b, x in split_by((mix64(tied[1].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in found], pa.int32()), pa.array([r for _, r in found], pa.binary())], names=["bucket", "payload"])
 
     def meet(table: pa.Table) -> pa.Table:
-        parts = [unpack_columns(b, (np.uint64, np.int64)) for b in table.column("payload").to_pylist()]
-        key, owner = (np.concatenate(c) for c in zip(*parts))
-        o = np.lexsort((owner, key))
-        key, owner = key[o], owner[o]
-        first = np.maximum.accumulate(np.where(np.concatenate(([True], key[1:] != key[:-1])), np.arange(len(key)), 0))
-        pairs = np.unique(np.stack([owner, owner[first]], 1)[owner != owner[first]], axis=0)
+        kinds = entry if table.column("bucket")[0].as_py() >= 0 else pair
+        columns = concat_columns(table.column("payload").to_pylist(), kinds)
+        a, b = chains(*columns, percent) if kinds is entry else columns
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    # an id that several classes share (repeated ids) stands for all of them in the groups, which only widens these
-    met = classes.select("rep", "heads").mapInArrow(entries, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
-    groups = components(met)
-    grouped = classes.join(groups, F.col("rep") == F.col("id")).select(*name, "rep", F.col("component").alias("grp"))
+    met = classes.select("cls", "n", "shared", "heads").mapInArrow(entries, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
+    groups = cut_lineage(components(met).select(F.col("id").alias("cls"), F.col("component").alias("grp")))
+    grouped = classes.select("cls", *name).join(groups, "cls")
+    sets = rows.where("tokens is not null").select(*name, "prefix", "tokens").join(grouped, name).select("grp", "cls", "n", "prefix", "tokens")
+    # several parts may bring a class
+    size = groups.join(classes.select("cls", "shared"), "cls").groupBy("grp").agg(F.count("*").alias("_n"), F.sum(8 * F.col("shared")).alias("_bytes"))
+    crowded = cut_lineage(size.where((F.col("_n") > large) | (F.col("_bytes") > heavy)).select("grp"))
 
     def settle(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         grp, cls, n, prefix = (table.column(c).to_numpy() for c in ("grp", "cls", "n", "prefix"))
-        o = np.lexsort((cls, grp))
-        new = np.ones(len(o), bool)
-        new[1:] = (cls[o][1:] != cls[o][:-1]) | (grp[o][1:] != grp[o][:-1])  # several parts may have brought a class
-        o = o[new]
+        cls, o = np.unique(cls, return_index=True)
         tokens = table.column("tokens").take(pa.array(o)).to_pylist()
-        out = np.zeros(len(o), np.int64)
+        out = cls.copy()
         for _, at in split_by(grp[o]):
-            q = o[at]
-            label = link_groups([np.frombuffer(tokens[i], np.uint64) for i in at.tolist()], prefix[q].tolist(), n[q].tolist(), percent) if len(at) > 1 else np.zeros(1, int)
-            out[at] = cls[q][label]
-        linked = out != cls[o]
-        return pa.table({"a": pa.array(cls[o][linked]), "b": pa.array(out[linked])})
-
-    cls = F.xxhash64(*name).alias("cls")
-    sets = rows.where("tokens is not null").select(*name, cls, "prefix", "tokens").join(grouped, name).select("grp", "cls", "rep", *name, "prefix", "tokens")
-    crowded = cut_lineage(groups.groupBy(F.col("component").alias("grp")).agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("grp"))
-    links = []
-    if not crowded.isEmpty():
-        hot = sets.join(crowded, "grp", "left_semi").groupBy("grp", "cls", "rep", *name).agg(F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
-        sets = sets.join(crowded, "grp", "left_anti")
-        for _ in range(ROUNDS):
-            left, found = thin(hot, percent, large)
-            links.append(found)
-            over = cut_lineage(left.groupBy("grp").agg(F.count("*").alias("_n")).where(F.col("_n") > large).select("grp"))
-            sets = sets.unionByName(left.join(over, "grp", "left_anti"))
-            hot = left.join(over, "grp", "left_semi")
-            if over.isEmpty():
-                break
-        else:
-            sets = sets.unionByName(hot)
-    sets = sets.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(2 * buckets)).cast("int"))
-    settled = sets.select("bucket", "grp", "cls", "n", "prefix", "tokens").groupBy("bucket").applyInArrow(settle, "a long, b long")
-    # links within groups already lead to one class each, but for those to pivots
-    if links:
-        for found in links:
-            settled = settled.unionByName(found)
-        ends = components(settled).select(F.col("id").alias("cls"), F.col("component").alias("end"))
-    else:
-        ends = settled.select(F.col("a").alias("cls"), F.col("b").alias("end"))
-    ended = cut_lineage(classes.select(*name, "rep", cls).join(ends, "cls", "left").select(*name, "rep", F.coalesce("end", "cls").alias("end")))
+            if len(at) > 1:
+                q = o[at]
+                label = link_groups([np.frombuffer(tokens[i], np.uint64) for i in at.tolist()], prefix[q].tolist(), n[q].tolist(), percent)
+                out[at] = cls[at][label]
+        linked = out != cls
+        return pa.table({"a": pa.array(cls[linked]), "b": pa.array(out[linked])})
+
+    is_crowded = not crowded.isEmpty()
+    small = sets.join(crowded, "grp", "left_anti") if is_crowded else sets
+    small = small.withColumn("bucket", F.pmod(F.xxhash64("grp"), F.lit(2 * buckets)).cast("int"))
+    # a link leads from each class of a small group to the one that its component is known by
+    ends = small.select("bucket", "grp", "cls", "n", "prefix", "tokens").groupBy("bucket").applyInArrow(settle, "a long, b long").select(F.col("a").alias("cls"), F.col("b").alias("end"))
+    if is_crowded:
+        hot = sets.join(crowded, "grp", "left_semi").groupBy("grp", "cls", "n").agg(F.first("prefix").alias("prefix"), F.first("tokens").alias("tokens"))
+        more = components(settle_large(hot, percent, large, heavy))
+        ends = ends.unionByName(more.select(F.col("id").alias("cls"), F.col("component").alias("end")))
+    ended = cut_lineage(classes.select(*name, "rep", "cls").join(ends, "cls", "left").select(*name, "rep", F.coalesce("end", "cls").alias("end")))
     settled = ended.join(ended.groupBy("end").agg(F.min("rep").alias("component")), "end").select(*name, "component")
     out = rows.select("id", *name).join(settled, name, "left").withColumn("component", F.coalesce("component", "id"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
