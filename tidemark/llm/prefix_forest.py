@@ -1,17 +1,18 @@
 """Approximate nearest neighbours by inner product: a forest of hash prefixes over blocks of vectors.
 
-Vectors are dealt over blocks of bounded size. In a block, each tree gives every vector a long string of
+Vectors are dealt over blocks of bounded size, a task each. In a block, each tree gives every vector a long string of
 hash bits and keeps the strings sorted; a prefix is then a slice of the array. A query goes down each tree to its longest matching
-prefix, and comes up in all trees at once, one bit a time, until the slices hold
-``share`` times as many entries as the block has vectors; what they hold is scored exactly. Inner products
+prefix, and comes up in all trees together, one bit a time, until the slices hold
+``least`` entries and ``share`` times as many as the block has vectors; what they hold is scored exactly. Inner products
 are turned into angles first: vectors are divided by the block's largest norm and get one more component
 that makes them unit vectors.
 
-All queries visit all blocks, in batches, and keep their best of each block. Equal vectors of a block are
+The queries are a stated set against all rows, in blocks: each visits every block, and keeps its best few of each.
+These meet in two steps, so that no task gathers more than the square root of the number of blocks a query. Equal vectors of a block are
 one entry of the trees, so that a vector with very many copies doesn't use up the candidates.
 
-Recall against brute force depends on the data and on ``share``. The default is set for vectors without
-any cluster structure, where near ones are hardly nearer than others; see the tests for what it reaches.
+Recall against brute force and the share of rows that are scored (``candidates``) depend on the data; the README has both, for
+random directions, where near vectors are hardly nearer than others, and for clusters.
 
 Defined results: vectors that are null, zero, or hold a null or non-finite component take no part. Only
 vectors of one length meet. Rows with the query's own id are no candidates. With fewer candidates than
@@ -24,13 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NEAREST = 20
-TREES = 48
+TREES = 512
 BITS = 24
-SHARE = 1.0
+SHARE = 0.12
+LEAST = 1500
 BLOCK_ROWS = 16_384
 EVERY = 20
 SEED = 7
@@ -38,7 +40,7 @@ BATCH = 256
 
 
 class Forest:
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, nearest: int = NEAREST, trees: int = TREES, bits: int = BITS, share: float = SHARE, seed: int = SEED):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, nearest: int = NEAREST, trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST, seed: int = SEED):
         flat = np.ascontiguousarray(vectors).view(np.dtype((np.void, vectors.dtype.itemsize * vectors.shape[1]))).ravel()
         order = np.lexsort((ids, np.unique(flat, return_inverse=True)[1]))
         flat, ids = flat[order], ids[order]
@@ -53,34 +55,36 @@ class Forest:
         self.begin = np.searchsorted(self.owner, np.arange(len(first) + 1))
         self.nearest, self.trees, self.bits = nearest, trees, bits
         n, d = self.x.shape
-        self.wanted = share * n
+        self.wanted = least + share * n
         norm = np.sqrt((self.x * self.x).sum(1))
         top = norm.max()
         lifted = np.hstack([self.x / top, np.sqrt(np.maximum(0, 1 - (norm / top) ** 2))[:, None]])
         self.coarse = (self.x / top).astype(np.float32)
         self.planes = np.random.default_rng([seed, d]).standard_normal((d + 1, trees * bits))
         codes = self._codes(lifted)
-        self.order = np.argsort(codes, axis=1, kind="stable")
-        self.sorted = np.take_along_axis(codes, self.order, 1)
+        self.order, self.sorted = np.empty(codes.shape, np.int32), codes
+        for t in range(trees):
+            self.order[t] = np.argsort(codes[t], kind="stable")
+            self.sorted[t] = codes[t][self.order[t]]
 
     def _codes(self, x: np.ndarray) -> np.ndarray:
         """A string of bits, as a number, for each tree and vector."""
-        out = np.empty((self.trees, len(x)), np.int64)
-        weights = 1 << np.arange(self.bits)[::-1]
+        out = np.empty((self.trees, len(x)), np.int32)
+        weights = (1 << np.arange(self.bits, dtype=np.int32))[::-1]
         for t in range(self.trees):
             out[t] = (x @ self.planes[:, t * self.bits : (t + 1) * self.bits] > 0) @ weights
         return out
 
-    def _slices(self, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query the slice at the depth where all trees together hold enough."""
+    def _slices(self, q: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query its slice when all trees together hold enough."""
         codes = self._codes(np.hstack([q, np.zeros((len(q), 1))]))
-        lo, hi = np.zeros(codes.shape, np.int64), np.full(codes.shape, len(self.x))
+        lo, hi = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
         deepest = np.zeros(len(q), np.int64)
         for t in range(self.trees):
             at = np.searchsorted(self.sorted[t], codes[t])
             for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.x) - 1)):
                 apart = self.sorted[t][near] ^ codes[t]
-                deepest = np.maximum(deepest, self.bits - np.ceil(np.log2(apart + 1)).astype(np.int64))
+                deepest = np.maximum(deepest, self.bits - np.ceil(np.log2(apart + 1.0)).astype(np.int64))
         open_ = np.arange(len(q))
         for depth in range(int(deepest.max(initial=0)), -1, -1):
             now = open_[deepest[open_] >= depth]
@@ -89,24 +93,34 @@ class Forest:
             shift = self.bits - depth
             a, b = np.empty((self.trees, len(now)), np.int64), np.empty((self.trees, len(now)), np.int64)
             for t in range(self.trees):
-                head = codes[t][now] >> shift
-                a[t], b[t] = np.searchsorted(self.sorted[t], head << shift), np.searchsorted(self.sorted[t], (head + 1) << shift)
-            enough = ((b - a).sum(0) >= self.wanted) | (depth == 0)
-            lo[:, now[enough]], hi[:, now[enough]] = a[:, enough], b[:, enough]
+                head = codes[t][now] >> shift << shift
+                a[t], b[t] = np.searchsorted(self.sorted[t], head), np.searchsorted(self.sorted[t], head + np.int32((1 << shift) - 1), "right")
+            enough = ((b - a).sum(0) >= wanted) | (depth == 0)
+            # the last step up is taken by tree after tree, as far as it must
+            was = hi[:, now] - lo[:, now]
+            more = b - a - was
+            up = ~enough | (was.sum(0) + np.cumsum(more, 0) - more < wanted)
+            lo[:, now], hi[:, now] = np.where(up, a, lo[:, now]), np.where(up, b, hi[:, now])
             open_ = np.setdiff1d(open_, now[enough], assume_unique=True)
         return lo, hi
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query its nearest candidates' ids and scores, nearest first."""
-        lo, hi = self._slices(q)
+    def _held(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """The vectors that a slice of each tree holds."""
+        mask = np.zeros(len(self.x), bool)
+        for t in range(self.trees):
+            mask[self.order[t][lo[t] : hi[t]]] = True
+        return np.flatnonzero(mask)
+
+    def search(self, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """For each query its nearest candidates' ids and scores, nearest first, and how many vectors were scored."""
+        lo, hi = self._slices(q, self.wanted)
         size = np.sqrt((q * q).sum(1))
         for i, own in enumerate(query_ids.tolist()):
-            mask = np.zeros(len(self.x), bool)
-            for t in range(self.trees):
-                mask[self.order[t][lo[t, i] : hi[t, i]]] = True
-            found = np.flatnonzero(mask)
-            if len(found) <= self.nearest:  # up to the root, which holds all
-                found = np.arange(len(self.x))
+            found, wanted = self._held(lo[:, i], hi[:, i]), self.wanted
+            while len(found) <= self.nearest < len(self.x):  # all trees hold the same few: further up
+                wanted *= 2
+                found = self._held(*(x[:, 0] for x in self._slices(q[i : i + 1], wanted)))
+            scored = len(found)
             rough = self.coarse[found] @ (q[i] / size[i]).astype(np.float32)
             k = self.nearest + 1
             if len(found) > k:  # a margin for the coarse scores' rounding, then exact ones, summed alike for all
@@ -119,7 +133,7 @@ class Forest:
             other = ids != own
             ids, score = ids[other], score[other]
             best = np.lexsort((ids, -score))[: self.nearest]
-            yield ids[best], score[best]
+            yield ids[best], score[best], scored
 
 
 def usable(vector: Column) -> Column:
@@ -127,13 +141,24 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: DataFrame | None = None, every: int = EVERY, nearest: int = NEAREST, trees: int = TREES, bits: int = BITS, share: float = SHARE, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
-    """``query_id, rank, vec_id, score``. Queries are the rows whose id ``every`` divides, unless a table of them is given."""
+def _keys(spark: SparkSession, blocks: int) -> list[int]:
+    """A number for each block whose hash deals it to a partition of its own."""
+    found = spark.range(30 * blocks + 100).groupBy(F.pmod(F.hash("id"), F.lit(blocks)).alias("p")).agg(F.min("id").alias("k")).collect()
+    keys = {r["p"]: r["k"] for r in found}
+    return [keys.get(b, -1 - b) for b in range(blocks)]
+
+
+def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", queries: DataFrame | None = None, every: int = EVERY, nearest: int = NEAREST, trees: int = TREES, bits: int = BITS, share: float = SHARE, least: int = LEAST, block_rows: int = BLOCK_ROWS, seed: int = SEED) -> DataFrame:
+    """``query_id, rank, vec_id, score, candidates``; the last tells how many vectors were scored for the query.
+
+    Queries are the rows whose id ``every`` divides, unless a table of them is given.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("v")), F.lit(False)))
     asked = rows.where(F.col("vec_id") % every == 0) if queries is None else queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.coalesce(usable(F.col("v")), F.lit(False)))
     blocks = max(1, -(-rows.count() // block_rows))
-    stored = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.size("v").alias("dim"), F.lit(0).alias("query"), "vec_id", "v")
-    sent = asked.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.size("v").alias("dim"), F.lit(1).alias("query"), "vec_id", "v")
+    keys = F.array(*[F.lit(int(k)).cast("long") for k in _keys(df.sparkSession, blocks)])
+    stored = rows.select(F.element_at(keys, F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int") + 1).alias("block"), F.size("v").alias("dim"), F.lit(0).alias("query"), "vec_id", "v")
+    sent = asked.select(F.explode(keys).alias("block"), F.size("v").alias("dim"), F.lit(1).alias("query"), "vec_id", "v")
     dealt = stored.unionByName(sent).repartition(blocks, "block").sortWithinPartitions("block", "dim", "query")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,20 +172,28 @@ def search(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                     vectors.append(lot[3])
                     continue
                 if forest is None and ids:
-                    forest, ids, vectors = Forest(np.concatenate(ids), np.concatenate(vectors), nearest, trees, bits, share, seed), [], []
+                    forest, ids, vectors = Forest(np.concatenate(ids), np.concatenate(vectors), nearest, trees, bits, share, least, seed), [], []
                 if forest is None:
                     continue
                 for at in range(0, len(lot[2]), BATCH):
                     qi, q = lot[2][at : at + BATCH], lot[3][at : at + BATCH]
                     got = list(forest.search(qi, q))
-                    n = [len(i) for i, _ in got]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qi, n)), pa.array(np.concatenate([i for i, _ in got])), pa.array(np.concatenate([s for _, s in got]))], names=["query_id", "vec_id", "score"])
-
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
-    # only the best few of each block meet here
-    best = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id", "score"))), 1, nearest).alias("b"))
-    best = best.select("query_id", F.posexplode("b").alias("rank", "b"))
-    return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"))
+                    n = [len(i) for i, _, _ in got]
+                    scored = np.zeros(sum(n), np.int64)
+                    scored[(np.cumsum(n) - n)[np.array(n) > 0]] = [k for i, _, k in got if len(i)]  # told once
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(scored), key[0])), pa.array(np.repeat(qi, n)), pa.array(np.concatenate([i for i, _, _ in got])), pa.array(np.concatenate([s for _, s, _ in got])), pa.array(scored)], names=["block", "query_id", "vec_id", "score", "scored"])
+
+    best = dealt.mapInArrow(run, "block long, query_id long, vec_id long, score double, scored long")
+    # only the best few of each block meet, some blocks at a time
+    near = F.struct((-F.col("score")).alias("s"), "vec_id", "score")
+    step = F.slice(F.array_sort(F.collect_list(near)), 1, nearest).alias("b")
+    lots = int(np.ceil(np.sqrt(blocks)))
+    if lots > 1:
+        best = best.groupBy("query_id", F.pmod(F.xxhash64("block"), F.lit(lots)).alias("lot")).agg(step, F.sum("scored").alias("scored"))
+        best = best.select("query_id", "scored", F.posexplode("b").alias("at", "b")).select("query_id", F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"), F.when(F.col("at") == 0, F.col("scored")).otherwise(0).alias("scored"))
+    best = best.groupBy("query_id").agg(step, F.sum("scored").alias("candidates"))
+    best = best.select("query_id", "candidates", F.posexplode("b").alias("rank", "b"))
+    return best.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), F.col("b.score").alias("score"), "candidates")
 
 
 def _lots(batch: pa.RecordBatch) -> Iterator[tuple]:
