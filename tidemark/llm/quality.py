@@ -2,12 +2,12 @@
 
 The risk that training minimises is the non-negative unbiased one: ``p R+(positives) + max(0,
 R-(unlabelled) - p R-(positives))`` under logistic loss, with p the class prior; where the second term
-falls below zero the step goes the other way. Unlabelled text is a sample of all documents. The prior is
-the share of positives among the trusted labels where these hold both classes; where only positives are
-known, a first model of labelled against unlabelled gives it.
+falls below zero the step goes the other way. Unlabelled text is a sample of all documents, and gives the class
+prior too (``estimate_prior``), whether negatives are labelled or not.
 
-Features are figures of whole texts (kinds of characters, words, lines, repetition, compressibility) and
-go through one small hidden layer. Labels, language, source and id are never features. They are computed
+Features are figures of whole texts (kinds of characters, words, lines, repetition, compressibility) and their
+content: words, and pairs of neighbours, hashed to ``BUCKETS`` shares of a text each. All go
+through one small hidden layer. Labels, language, source and id are never features. They are computed
 once for each document, in one pass over the texts; the model is fitted on bounded samples
 (``sample_rows`` of each kind, those with the smallest id hashes) and scores every document.
 
@@ -27,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, utf8
+from .common import cut_lineage, span_view, utf8
+from .counting import Words
 
 SAMPLE_ROWS = 10_000
 HIDDEN = 24
-STEPS = 600
+STEPS = 300
 SEED = 7
 
 #: Kinds of characters, by byte.
@@ -42,12 +43,17 @@ KINDS = [
 _KIND = np.zeros((256, len(KINDS)))
 for _k, _bytes in enumerate(KINDS):
     _KIND[list(_bytes), _k] = 1
-WIDTH = len(KINDS) + 12
+FIGURES = len(KINDS) + 12
+#: Buckets of hashed words, and as many of hashed pairs.
+BUCKETS = 64
+WIDTH = FIGURES + 2 * BUCKETS
+#: Content varies with the subject more than with quality: a bucket counts for so much less than a figure.
+CONTENT_SCALE = 6.0
 
 
 def features(text: bytes) -> np.ndarray:
     """Figures of one whole text."""
-    out = np.zeros(WIDTH)
+    out = np.zeros(FIGURES)
     if not text:
         return out
     n = len(text)
@@ -68,15 +74,35 @@ def features(text: bytes) -> np.ndarray:
     return out
 
 
-def featurize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def content(texts: pa.Array) -> np.ndarray:
+    """Of each text, the roots of its words' and pairs' shares that fall into each bucket."""
+    raw, at = span_view(texts)
+    words, docs = Words(raw, at), len(texts)
+    n = np.maximum(np.diff(words.first), 1)[:, None]
+    out = []
+    for k in (1, 2):
+        h = words.chained(k)
+        own = words.text[: len(h)]
+        whole = words.text[k - 1 :] == own if len(h) else np.zeros(0, bool)
+        place = own[whole] * BUCKETS + (h[whole] % np.uint64(BUCKETS)).astype(np.int64)
+        out.append(np.sqrt(np.bincount(place, minlength=docs * BUCKETS).reshape(docs, BUCKETS) / n))
+    return np.hstack(out)
+
+
+def featurize(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, x`` for each row, and the columns that ``carry`` names, as ``carried_<name>``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(t) for t in batch.column(1).to_pylist()]
-            flat = np.concatenate(x) if x else np.zeros(0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, WIDTH), pa.int32()), pa.array(flat.astype(np.float32)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], names=["doc_id", "x"])
+            for s in range(0, batch.num_rows, 1000):
+                part = batch.slice(s, 1000)
+                x = np.hstack([np.stack([features(t) for t in part.column(1).to_pylist()]), content(part.column(1))])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, WIDTH), pa.int32()), pa.array(x.ravel().astype(np.float32)))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists, *part.columns[2:]], names=["doc_id", "x", *names])
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t")).mapInArrow(run, "doc_id long, x array<float>")
+    names = [f"carried_{c}" for c in carry]
+    ddl = "doc_id long, x array<float>" + "".join(f", `carried_{c}` {df.schema[c].dataType.simpleString()}" for c in carry)
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), utf8(text_col).alias("t"), *[F.col(c).alias(n) for c, n in zip(carry, names)]).mapInArrow(run, ddl)
 
 
 class Net:
@@ -85,6 +111,7 @@ class Net:
     def __init__(self, x: np.ndarray, seed: int = SEED, hidden: int = HIDDEN):
         rng = np.random.default_rng(seed)
         self.mean, self.scale = x.mean(0), x.std(0) + 1e-6
+        self.scale[FIGURES:] *= CONTENT_SCALE
         self.p = [rng.normal(0, 1 / np.sqrt(x.shape[1]), (x.shape[1], hidden)), np.zeros(hidden), rng.normal(0, 1 / np.sqrt(hidden), hidden), np.zeros(1)]
         self.m, self.v, self.t = [np.zeros_like(a) for a in self.p], [np.zeros_like(a) for a in self.p], 0
 
@@ -131,26 +158,48 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return net
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED) -> float:
-    """Labelled against unlabelled: how probable a label is, over how probable it is among positives."""
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = SEED, rounds: int = 2) -> float:
+    """The positives' share of the unlabelled rows.
+
+    Above a score that most positives reach stand few others, so the unlabelled rows there, over the positives there, are
+    that share. Scores are of models fitted on the other half of the rows: first of labelled against unlabelled, then,
+    ``rounds`` times, of the risk with the share found so far.
+    """
+    rng = np.random.default_rng(seed)
+    own, other = rng.permutation(len(positive)) % 2, rng.permutation(len(unlabelled)) % 2
+    if len(positive) < 2 or len(unlabelled) < 2:
+        return 1.0
+    prior = None
+    for _ in range(1 + rounds):
+        ratios = []
+        for side in (0, 1):
+            p, u = positive[own == side], unlabelled[other == side]
+            net = _against(p, u, seed) if prior is None else fit(p, u, min(0.99, max(0.05, prior)), 200, seed)
+            p, u = net.score(positive[own != side]), net.score(unlabelled[other != side])
+            ratios += [(u >= t).mean() / (p >= t).mean() for t in np.quantile(p, (0.05, 0.1, 0.15, 0.2))]
+        prior = float(min(1.0, np.mean(ratios)))
+    return prior
+
+
+def _against(positive: np.ndarray, unlabelled: np.ndarray, seed: int) -> Net:
+    """How probable a label is."""
     both = np.concatenate([positive, unlabelled])
-    net, n = Net(both, seed), len(positive)
-    z, y = net.scaled(both), np.r_[np.ones(n), np.zeros(len(unlabelled))]
-    for _ in range(300):
+    net, y = Net(both, seed), np.r_[np.ones(len(positive)), np.zeros(len(unlabelled))]
+    z = net.scaled(both)
+    for _ in range(150):
         g, h = net.odds(z)
         net.step(z, h, (_sigmoid(g) - y) / len(y))
-    s = net.score(both)
-    odds = s / (1 - np.clip(s, 0, 0.999))
-    return float(odds[n:].mean() / odds[:n].mean())
+    return net
 
 
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` for each row of df."""
-    x = cut_lineage(featurize(df, id_col, text_col))
+def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, seed: int = SEED, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``doc_id, held_out, score, predicted`` for each row of df, and the columns that ``carry`` names, as ``carried_<name>``."""
+    x = cut_lineage(featurize(df, id_col, text_col, carry))
+    more = [f"carried_{c}" for c in carry]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where(~held_out() & F.col("doc_id").isNotNull() & F.col("y").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
     by_hash = [F.xxhash64("doc_id", F.lit(seed)), "doc_id"]
@@ -165,12 +214,12 @@ def classify(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     positive = smallest(x.join(known.where("y = 1"), "doc_id", "left_semi"), counts.get(1, 0))
     unlabelled = smallest(x, x.count())
     if not len(positive):
-        scored = x.select("doc_id", F.lit(1.0).alias("score"))
+        scored = x.select("doc_id", F.lit(1.0).alias("score"), *more)
     else:
-        prior = counts.get(1, 0) / sum(counts.values()) if counts.get(0) else estimate_prior(positive, unlabelled, seed)
+        prior = estimate_prior(positive, unlabelled, seed)
         net = fit(positive, unlabelled, min(0.99, max(0.05, prior)), seed=seed)
-        scored = _scored(x, net)
-    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+        scored = _scored(x, net, more)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *more)
 
 
 def _matrix(rows: DataFrame) -> np.ndarray:
@@ -179,10 +228,11 @@ def _matrix(rows: DataFrame) -> np.ndarray:
     return np.array(got, np.float64).reshape(-1, WIDTH)
 
 
-def _scored(x: DataFrame, net: Net) -> DataFrame:
+def _scored(x: DataFrame, net: Net, more: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, WIDTH)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(flat.astype(np.float64)))], names=["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(flat.astype(np.float64))), *batch.columns[2:]], names=["doc_id", "score", *more])
 
-    return x.select("doc_id", "x").mapInArrow(run, "doc_id long, score double")
+    kinds = "".join(f", `{c}` {x.schema[c].dataType.simpleString()}" for c in more)
+    return x.select("doc_id", "x", *more).mapInArrow(run, "doc_id long, score double" + kinds)
