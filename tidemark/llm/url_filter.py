@@ -2,7 +2,12 @@
 
 All of it is DataFrame operations and the JVM's tree learner. Labelled URLs train the trees: by default
 those that a rule decides. Features: lengths, depth, digit ratio, entropy of the characters, numbers of
-parameters, and how often the labelled hosts with the same last label are allowed (smoothed).
+parameters, and how often the labelled hosts with the same last label are allowed (smoothed). That rate
+leaves out a labelled url's own fold, so that a tree never sees a label in its own feature.
+
+Suffixes are counted by partial sums, so a frequent one is a row a task. Their table is broadcast if it has at
+most ``SMALL_SUFFIXES`` rows; else the urls are dealt by suffix and a salt, and the table is repeated for each salt.
+The lexical features are written once, and all passes read them.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no rule, and is
 judged by the trees like any other. Without labelled urls of both verdicts there is nothing to learn:
@@ -19,6 +24,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut_lineage
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,6 +53,10 @@ RULES = (
     Rule("block", "net/fr/"),
 )
 TRAIN_ROWS = 20_000
+FOLDS = 5
+#: Rows of the suffix table that are broadcast (a few hundred bytes each), and salts beyond.
+SMALL_SUFFIXES = 100_000
+SALTS = 64
 FEATURES = ["url_len", "host_len", "path_len", "depth", "labels", "digit_ratio", "entropy", "params", "fragment", "dashes", "secure", "query_len", "suffix_rate", "suffix_seen"]
 
 
@@ -125,22 +136,32 @@ def judge(df: DataFrame, id_col: str = "page_id", url_col: str = "url", label_co
     if not label_col:
         x = x.withColumn("label", F.when(F.col("by_rule") == "allow", 1.0).when(F.col("by_rule") == "block", 0.0))
     x = lexical(x)
+    x = cut_lineage(x.withColumns({"_order": F.xxhash64("url", F.lit(seed)), "_fold": F.pmod(F.xxhash64("url", F.lit(seed + 1)), F.lit(FOLDS)).cast("int")}))
     labelled = x.where("label is not null")
     seen = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect() if r["label"] in (0.0, 1.0)}
     if len(seen) < 2:
         only = next(iter(seen), 1.0)
         return x.select("page_id", "host", "path", "rule", F.coalesce("by_rule", F.lit("allow" if only else "block")).alias("verdict"), F.lit(only).alias("score"))
     prior = seen[1.0] / (seen[0.0] + seen[1.0])
-    suffixes = labelled.groupBy(F.col("suffix").alias("_suffix")).agg(F.sum("label").alias("_allowed"), F.count("*").cast("double").alias("_seen"))
+    # allowed and all labelled urls of each suffix, over all folds and without each one
+    of_fold = [f(F.when(F.col("_fold") == k, c)).alias(f"{n}{k}") for k in range(FOLDS) for n, f, c in (("a", F.sum, F.col("label")), ("s", F.count, F.lit(1)))]
+    suffixes = cut_lineage(labelled.groupBy(F.col("suffix").alias("_suffix")).agg(F.sum("label").alias("_allowed"), F.count("*").alias("_seen"), *of_fold))
+    small = suffixes.count() <= SMALL_SUFFIXES
 
     def with_suffix(rows: DataFrame) -> DataFrame:
-        rate = (F.coalesce("_allowed", F.lit(0.0)) + 10 * prior) / (F.coalesce("_seen", F.lit(0.0)) + 10)
-        rows = rows.join(suffixes, F.col("suffix") == F.col("_suffix"), "left")
-        return rows.withColumns({"suffix_rate": rate, "suffix_seen": F.log1p(F.coalesce("_seen", F.lit(0.0)))})
-
-    sample = labelled.orderBy(F.xxhash64("url", F.lit(seed)), "page_id").limit(train_rows)
+        own = lambda n: F.coalesce(*[F.when((F.col("_fold") == k) & F.col("label").isNotNull(), F.coalesce(f"{n}{k}", F.lit(0))) for k in range(FOLDS)], F.lit(0))
+        allowed, n = F.coalesce("_allowed", F.lit(0.0)) - own("a"), F.coalesce("_seen", F.lit(0)) - own("s")
+        if small:
+            rows = rows.join(F.broadcast(suffixes), F.col("suffix") == F.col("_suffix"), "left")
+        else:
+            salted = suffixes.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+            rows = rows.withColumn("_own_salt", F.pmod(F.xxhash64("url", "page_id"), F.lit(SALTS)).cast("int"))
+            rows = rows.join(salted.hint("merge"), (F.col("suffix") == F.col("_suffix")) & (F.col("_own_salt") == F.col("_salt")), "left")
+        return rows.withColumns({"suffix_rate": (allowed + 10 * prior) / (n + 10), "suffix_seen": F.log1p(n.cast("double"))})
+
+    sample = labelled.orderBy("_order", "page_id").limit(train_rows)
     vectors = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    train = vectors.transform(with_suffix(sample)).orderBy(F.xxhash64("url", F.lit(seed)), "page_id").select("features", "label").coalesce(1)
+    train = vectors.transform(with_suffix(sample)).orderBy("_order", "page_id").select("features", "label").coalesce(1)
     model = GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=32, stepSize=0.2, seed=seed).fit(train)
     out = model.transform(vectors.transform(with_suffix(x))).withColumn("score", vector_to_array("probability")[1])
     verdict = F.coalesce("by_rule", F.when(F.col("score") >= 0.5, "allow").otherwise("block"))
