@@ -73,6 +73,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever store holds it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def pack_sorted(keys: np.ndarray) -> bytes:
     """Sorted uint64 keys as the byte planes of their differences. The upper planes are small numbers, which entropy coding shrinks."""
     d = np.diff(keys, prepend=np.uint64(0))

@@ -9,6 +9,9 @@ block, so each document is taken a whole number of times, but for the one where
 
 Defined results: a null text has no words; a null source is a source of its own; a table without words
 gives targets and takes of 0; an empty table gives no rows. Rows with one id are documents of their own.
+
+Limits: the sources' targets are set in one task, a row for each source, and a source's blocks are dealt over its
+shards in one task, a row for each ``shard_docs`` documents.
 """
 
 from __future__ import annotations
@@ -98,11 +101,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def taken_rows(df: DataFrame, plan: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
     """The mixed rows themselves, with the columns of the input: the whole text for each full round, and the first words for a part.
 
-    Rows of one id all get the largest take that the plan has for that id.
+    Rows that share an id are matched to its takes by size, in order, which brings an id's rows to one task. Where an
+    id, or null, may have very many rows, give the rows a key of their own.
     """
     cols = df.columns
-    plan = plan.groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
-    x = df.join(plan, df[id_col].cast("long").eqNullSafe(F.col("_id"))).where(F.col("_taken") > 0)
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("taken").alias("_taken"), F.col("size").alias("_size"))
+    rows = df.withColumn("_own", F.col(id_col).cast("long"))
+    same = F.col("_own").eqNullSafe(F.col("_id"))
+    again = cut_lineage(plan.groupBy(F.col("_id").alias("_again")).count().where("count > 1").select("_again"))
+    if again.isEmpty():
+        x = rows.join(plan, same)
+    else:
+        repeated = lambda x, c, how: x.join(again, F.col(c).eqNullSafe(F.col("_again")), how)
+        numbered = lambda x, by, *order: x.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(*order)))
+        mine = numbered(repeated(rows, "_own", "left_semi").withColumn("_words", words(text_col)), "_own", "_words").drop("_words")
+        takes = numbered(repeated(plan, "_id", "left_semi"), "_id", "_size", "_taken").withColumnRenamed("_at", "_to")
+        x = repeated(rows, "_own", "left_anti").join(repeated(plan, "_id", "left_anti"), same)
+        x = x.unionByName(mine.join(takes, same & (F.col("_at") == F.col("_to"))).drop("_at", "_to"))
+    x = x.where(F.col("_taken") > 0)
     part = F.try_mod(F.col("_taken"), F.col("_size"))
     whole = F.floor(F.try_divide("_taken", "_size")).cast("int")
     copies = F.concat(F.array_repeat(F.lit(0).cast("long"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<bigint>")))

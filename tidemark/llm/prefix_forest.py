@@ -32,7 +32,7 @@ NEAREST = 20
 TREES = 512
 BITS = 24
 SHARE = 0.12
-LEAST = 1500
+LEAST = 1300
 BLOCK_ROWS = 16_384
 EVERY = 20
 SEED = 7
