@@ -85,3 +85,18 @@ def test_chains_keep_linked_sets_together():
     # a list of very many entries goes on as one for each size and bound
     o, _ = ngram_join.thinned(np.zeros(5000, np.uint64), np.full(5000, 9), np.full(5000, 10), np.arange(5000))
     assert len(o) == 1
+
+
+def test_roots():
+    from tidemark.llm.common import roots
+
+    rng = np.random.default_rng(3)
+    for m in (0, 1, 5, 60):
+        a, b = rng.integers(0, 40, m), rng.integers(0, 40, m)
+        least = {int(x): int(x) for x in [*a, *b]}
+        for _ in range(50):
+            for x, y in zip(a.tolist(), b.tolist()):
+                least[x] = least[y] = min(least[x], least[y])
+        assert dict(zip(*(v.tolist() for v in roots(a, b)))) == {x: y for x, y in least.items() if x != y}
+    x = np.arange(5000)
+    assert set(roots(x[:-1], x[1:])[1].tolist()) == {0}

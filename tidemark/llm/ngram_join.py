@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, concat_columns, cut_lineage, let_go, mix64, pack_columns, shuffle_parts, split_by
+from .common import components, concat_columns, cut_lineage, let_go, mix64, pack_columns, roots, shuffle_parts, split_by
 from .counting import NULL_ID, Part, with_counts
 
 WORDS = 5
@@ -259,8 +259,8 @@ def settle_large(hot: DataFrame, percent: int, large: int, heavy: int) -> DataFr
         cls, own = np.unique(cls, return_index=True)
         tokens, start = table.column("tokens").take(pa.array(own)).to_pylist(), start[own]
         label = link_groups([np.frombuffer(t, np.uint64) for t in tokens], prefix[own].tolist(), n[own].tolist(), percent, start)
-        pairs = np.unique(np.stack([start, start[label]], 1)[start != start[label]], axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        a, b = roots(start, start[label])
+        return pa.table({"a": a, "b": b})
 
     return found.unionByName(one.unionByName(two).groupBy(*task).applyInArrow(cross, "a long, b long"))
 
@@ -326,9 +326,8 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: i
     def meet(table: pa.Table) -> pa.Table:
         kinds = entry if table.column("bucket")[0].as_py() >= 0 else pair
         columns = concat_columns(table.column("payload").to_pylist(), kinds)
-        a, b = chains(*columns, percent) if kinds is entry else columns
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1)[a != b], axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+        a, b = roots(*(chains(*columns, percent) if kinds is entry else columns))  # what a bucket's chains join, as stars
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
 
     met = classes.select("cls", "n", "shared", "heads").mapInArrow(entries, "bucket int, payload binary").groupBy("bucket").applyInArrow(meet, "a long, b long")
     groups = cut_lineage(components(met).select(F.col("id").alias("cls"), F.col("component").alias("grp")))

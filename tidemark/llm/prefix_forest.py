@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 NEAREST = 20
 TREES = 512
 BITS = 24
-SHARE = 0.12
-LEAST = 1300
+SHARE = 0.21
+LEAST = 900
 BLOCK_ROWS = 16_384
 EVERY = 20
 SEED = 7
@@ -75,40 +75,43 @@ class Forest:
             out[t] = (x @ self.planes[:, t * self.bits : (t + 1) * self.bits] > 0) @ weights
         return out
 
+    def _at(self, codes: np.ndarray, depth: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each tree and query the slice of the query's prefix of so many bits."""
+        a, b = np.empty(codes.shape, np.int64), np.empty(codes.shape, np.int64)
+        shift = self.bits - depth
+        for t in range(self.trees):
+            head = codes[t] >> shift << shift
+            a[t], b[t] = np.searchsorted(self.sorted[t], head), np.searchsorted(self.sorted[t], head + ((1 << shift) - 1).astype(np.int32), "right")
+        return a, b
+
     def _slices(self, q: np.ndarray, wanted: float) -> tuple[np.ndarray, np.ndarray]:
-        """For each tree and query its slice when all trees together hold enough."""
+        """For each tree and query its slice when all trees together hold enough.
+
+        Slices only grow on the way up from the longest match, so the last step up is found by bisection.
+        """
         codes = self._codes(np.hstack([q, np.zeros((len(q), 1))]))
-        lo, hi = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
-        deepest = np.zeros(len(q), np.int64)
-        for t in range(self.trees):
-            at = np.searchsorted(self.sorted[t], codes[t])
-            for near in (np.maximum(at - 1, 0), np.minimum(at, len(self.x) - 1)):
-                apart = self.sorted[t][near] ^ codes[t]
-                deepest = np.maximum(deepest, self.bits - np.ceil(np.log2(apart + 1.0)).astype(np.int64))
-        open_ = np.arange(len(q))
-        for depth in range(int(deepest.max(initial=0)), -1, -1):
-            now = open_[deepest[open_] >= depth]
-            if not len(now):
-                continue
-            shift = self.bits - depth
-            a, b = np.empty((self.trees, len(now)), np.int64), np.empty((self.trees, len(now)), np.int64)
-            for t in range(self.trees):
-                head = codes[t][now] >> shift << shift
-                a[t], b[t] = np.searchsorted(self.sorted[t], head), np.searchsorted(self.sorted[t], head + np.int32((1 << shift) - 1), "right")
-            enough = ((b - a).sum(0) >= wanted) | (depth == 0)
-            # the last step up is taken by tree after tree, as far as it must
-            was = hi[:, now] - lo[:, now]
-            more = b - a - was
-            up = ~enough | (was.sum(0) + np.cumsum(more, 0) - more < wanted)
-            lo[:, now], hi[:, now] = np.where(up, a, lo[:, now]), np.where(up, b, hi[:, now])
-            open_ = np.setdiff1d(open_, now[enough], assume_unique=True)
-        return lo, hi
+        low, high = np.zeros(len(q), np.int32), np.full(len(q), self.bits + 1, np.int32)  # enough at low, or the root; too few at high
+        while (high - low > 1).any():
+            middle = (low + high) // 2
+            a, b = self._at(codes, middle)
+            enough = (b - a).sum(0) >= wanted
+            low, high = np.where(enough, middle, low), np.where(enough, high, middle)
+        a, b = self._at(codes, low)
+        x, y = self._at(codes, np.minimum(high, self.bits))
+        y = np.where(high > self.bits, x, y)  # below the longest strings there is nothing
+        # the last step up is taken by tree after tree, as far as it must
+        was = y - x
+        more = b - a - was
+        up = was.sum(0) + np.cumsum(more, 0) - more < wanted
+        return np.where(up, a, x), np.where(up, b, y)
 
     def _held(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """The vectors that a slice of each tree holds."""
         mask = np.zeros(len(self.x), bool)
-        for t in range(self.trees):
-            mask[self.order[t][lo[t] : hi[t]]] = True
+        n = hi - lo
+        ends = np.cumsum(n)
+        at = np.repeat(lo + np.arange(self.trees) * len(self.x) - (ends - n), n) + np.arange(ends[-1])
+        mask[self.order.ravel()[at]] = True
         return np.flatnonzero(mask)
 
     def search(self, query_ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
