@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -60,21 +61,27 @@ def local_average(series: DataFrame, config: Config = Config()) -> DataFrame:
     The neighbours' mean and deviation come from one pass after the other over the same list, in order, so that
     equal neighbours of any value give figures that agree with each other.
     """
-    w, window = Window.partitionBy(*SERIES).orderBy("i"), config.window if config.window > 0 else 10
-    most = max(window, 3) // 2
-    half = F.floor(F.greatest(F.when(F.col("n") < window, F.floor(F.col("n") / 2)).otherwise(window), F.lit(3)) / 2).cast("int")
-    before = F.collect_list("value").over(w.rowsBetween(-most, -1))
-    after = F.collect_list("value").over(w.rowsBetween(1, most))
-    x = _long_enough(series, config).withColumns({"_b": before, "_a": after, "_h": half})
-    x = x.withColumn("near", F.concat(F.slice("_b", F.greatest(F.size("_b") - F.col("_h") + 1, F.lit(1)), F.col("_h")), F.slice("_a", F.lit(1), F.col("_h"))))
-    x = x.withColumn("m", F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / F.size("near"))
-    x = x.withColumn("s", F.sqrt(F.aggregate("near", F.struct(F.lit(0.0).alias("q"), F.col("m").alias("m")), lambda a, v: F.struct((a["q"] + (v - a["m"]) * (v - a["m"])).alias("q"), a["m"].alias("m")))["q"] / F.size("near")))
+    x = _neighbours(_long_enough(series, config), config.window if config.window > 0 else 10)
     off = F.abs(F.col("value") - F.col("m"))
     x = x.withColumn("d", F.when(F.col("s") > 0, off / F.col("s")).when(off != 0, config.threshold + 1).otherwise(0.0)).where(F.col("d") > config.threshold)
     reach = config.threshold * F.col("s")
     return _found(x, F.col("d"), F.when(F.col("value") > F.col("m"), "spike").otherwise("drop"), "moving_avg", F.col("m") - reach, F.col("m") + reach)
 
 
+def _neighbours(x: DataFrame, window: int) -> DataFrame:
+    """Adds mean ``m`` and deviation ``s`` of each value's neighbours, summed from the first neighbour to the last."""
+    w = Window.partitionBy(*SERIES).orderBy("i")
+    most = max(window, 3) // 2
+    half = F.floor(F.greatest(F.when(F.col("n") < window, F.floor(F.col("n") / 2)).otherwise(window), F.lit(3)) / 2)
+    steps = [*range(-most, 0), *range(1, most + 1)]
+    names = {k: f"_v{k + most}" for k in steps}
+    x = x.withColumns({names[k]: F.lag("value", -k).over(w) if k < 0 else F.lead("value", k).over(w) for k in steps}).withColumn("_h", half)
+    there = lambda k: F.col(names[k]).isNotNull() & (F.col("_h") >= abs(k))
+    add = lambda of: reduce(lambda a, k: a + F.when(there(k), of(F.col(names[k]))).otherwise(0.0), steps, F.lit(0.0))
+    x = x.withColumn("_c", add(lambda v: F.lit(1.0))).withColumn("m", add(lambda v: v) / F.col("_c"))
+    return x.withColumn("s", F.sqrt(add(lambda v: (v - F.col("m")) * (v - F.col("m"))) / F.col("_c"))).drop("_h", "_c", *names.values())
+
+
 def choose(series: DataFrame) -> DataFrame:
     """The detector that suits each series: ``id, field, choice``."""
     q = quartiles(series)
@@ -88,10 +95,36 @@ def choose(series: DataFrame) -> DataFrame:
 
 
 def auto(series: DataFrame, config: Config = Config()) -> DataFrame:
-    """Each series under the detector that suits it; ``algorithm`` names that."""
-    x = series.join(choose(_long_enough(series, config)), list(SERIES))
-    pick = lambda c: x.where(F.col("choice") == c).drop("choice")
-    return zscore(pick("zscore"), config).unionByName(iqr(pick("iqr"), config)).unionByName(local_average(pick("moving_avg"), config))
+    """Each series under the detector that suits it; ``algorithm`` names that.
+
+    One aggregation gives each series' figures for the choice and for the detectors; all series then go through one pass of
+    windows, in which each row takes the bounds of its own series' detector.
+    """
+    x, v, i = _long_enough(series, config), F.col("value"), F.col("i").cast("double")
+    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.75)))
+    figures = x.groupBy(*SERIES).agg(q.alias("q"), F.avg(v).alias("_m"), F.stddev_pop(v).alias("_s"), (F.min(v) == F.max(v)).alias("flat"), F.skewness(v).alias("skew"), F.kurtosis(v).alias("kurt"), F.regr_slope(v, i).alias("slope"), F.coalesce(F.when(F.var_pop(v) > 0, F.regr_r2(v, i)), F.lit(0.0)).alias("r2"))
+    k = config.threshold if config.threshold < 3 else 1.5
+    q1, q3 = F.col("q")[0], F.col("q")[1]
+    x = x.join(figures, list(SERIES)).withColumns({"iqr": q3 - q1, "low": q1 - k * (q3 - q1), "high": q3 + k * (q3 - q1)})
+    out = (v < q1 - 1.5 * F.col("iqr")) | (v > q3 + 1.5 * F.col("iqr"))
+    outliers = 100 * F.sum(out.cast("int")).over(Window.partitionBy(*SERIES)) / F.col("n")
+    normal = (F.col("n") >= 10) & (F.abs("skew") < 1) & (F.abs("kurt") < 2)
+    strength = F.when(F.col("slope") > 0, F.col("r2")).otherwise(-F.col("r2"))
+    choice = F.when(outliers > 5, "iqr").when((F.col("r2") > 0.1) & (F.abs(strength) > 0.3), "moving_avg").when(normal, "zscore").otherwise("iqr")
+    x = _neighbours(x.withColumn("choice", choice), config.window if config.window > 0 else 10)
+    by = lambda z, f, l: F.when(F.col("choice") == "zscore", z).when(F.col("choice") == "iqr", f).otherwise(l)  # noqa: E731, E741
+    t, flat, none = config.threshold, F.col("flat"), F.lit(None).cast("double")
+    z = (v - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s"))
+    off = F.when(v > F.col("high"), v - F.col("high")).otherwise(F.col("low") - v)
+    d = F.when(F.col("s") > 0, F.abs(v - F.col("m")) / F.col("s")).when(v != F.col("m"), t + 1).otherwise(0.0)
+    x = x.withColumns({
+        "hit": by(flat | (F.abs(z) > t), (v > F.col("high")) | (v < F.col("low")), d > t),
+        "score": by(F.when(flat, 1.0).otherwise(F.abs(z)), F.when(F.col("iqr") > 0, off / F.col("iqr")).otherwise(1.0), d),
+        "type": by(F.when(flat, "flatline").when(z > 0, "spike").otherwise("drop"), F.when(v > F.col("high"), "spike").otherwise("drop"), F.when(v > F.col("m"), "spike").otherwise("drop")),
+        "expected_min": by(F.when(flat, none).otherwise(F.col("_m") - t * F.col("_s")), F.col("low"), F.col("m") - t * F.col("s")),
+        "expected_max": by(F.when(flat, none).otherwise(F.col("_m") + t * F.col("_s")), F.col("high"), F.col("m") + t * F.col("s")),
+    })
+    return x.where("hit").withColumn("algorithm", F.col("choice")).select(*OUT)
 
 
 DETECTORS: dict[str, Callable[[DataFrame, Config], DataFrame]] = {"zscore": zscore, "iqr": iqr, "moving_avg": local_average, "auto": auto}

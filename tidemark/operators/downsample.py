@@ -43,24 +43,30 @@ def _bucketed(series: DataFrame, mode: str, threshold: Column, exact: bool) -> t
     return series.withColumn("b", F.when(~whole, bucket_of(F.col("i"), F.col("n"), buckets, exact))), whole
 
 
-def extremes(series: DataFrame, mode: str, threshold: int | Column, exact: bool = False) -> DataFrame:
-    """MinMax keeps each bucket's least and greatest point, M4 its first and last too; of equal ones the first."""
-    x, whole = _bucketed(series, mode, _column(threshold), exact)
+def extremes(series: DataFrame, mode: str | Column, threshold: int | Column, exact: bool = False) -> DataFrame:
+    """MinMax keeps each bucket's least and greatest point, M4 its first and last too; of equal ones the first.
+
+    The mode may be a column, so that series of both modes go in one pass.
+    """
+    is_m4 = F.lit(mode == "m4") if isinstance(mode, str) else mode == "m4"
+    least, whole = _split(series, _column(threshold))
+    per = F.when(is_m4, BUCKETS["m4"]).otherwise(BUCKETS["minmax"])
+    buckets = F.greatest(F.lit(1), F.floor(least / per)).cast("long")
+    x = series.withColumns({"_whole": whole, "b": F.when(~whole, bucket_of(F.col("i"), F.col("n"), buckets, exact)), "_m4": is_m4})
     w = Window.partitionBy(*SERIES, "b")
     low = F.min(F.struct("value", "i")).over(w)["i"]
     high = F.min(F.struct((-F.col("value")).alias("v"), "i")).over(w)["i"]
-    keep = (F.col("i") == low) | (F.col("i") == high)
-    if mode == "m4":
-        keep = keep | (F.col("i") == F.min("i").over(w)) | (F.col("i") == F.max("i").over(w))
-    return x.withColumn("_keep", whole | (F.col("b").isNotNull() & keep)).where("_keep").select(*OUT)
+    keep = (F.col("i") == low) | (F.col("i") == high) | (F.col("_m4") & ((F.col("i") == F.min("i").over(w)) | (F.col("i") == F.max("i").over(w))))
+    return x.withColumn("_keep", F.col("_whole") | (F.col("b").isNotNull() & keep)).where("_keep").select(*OUT)
 
 
 def averages(series: DataFrame, threshold: int | Column, exact: bool = False) -> DataFrame:
     """Each bucket's mean, at the time of its middle point."""
     x, whole = _bucketed(series, "avg", _column(threshold), exact)
     x = x.withColumn("b", F.when(whole, F.col("i")).otherwise(F.col("b"))).where("b is not null")
-    g = x.groupBy(*SERIES, "b").agg(F.avg("value").alias("value"), F.min("i").alias("first"), F.count("*").alias("c"), F.array_sort(F.collect_list(F.struct("i", "time"))).alias("t"))
-    return g.select(*SERIES, F.element_at("t", (F.floor(F.col("c") / 2) + 1).cast("int"))["time"].alias("time"), "value")
+    middle = F.floor(F.count("*").over(Window.partitionBy(*SERIES, "b")) / 2) + F.min("i").over(Window.partitionBy(*SERIES, "b"))
+    x = x.withColumn("_middle", F.col("i") == middle)  # a bucket's points are neighbours
+    return x.groupBy(*SERIES, "b").agg(F.avg("value").alias("value"), F.max(F.when(F.col("_middle"), F.col("time"))).alias("time")).select(*SERIES, "time", "value")
 
 
 def lttb_indexes(y: np.ndarray, threshold: int) -> np.ndarray:
@@ -102,6 +108,21 @@ def _column(threshold: int | Column) -> Column:
     return F.lit(threshold) if isinstance(threshold, int) else threshold
 
 
+def with_mode(series: DataFrame) -> DataFrame:
+    """Numbered series with ``mode``. The figures are windows over the partitioning that the numbers come from, so nothing is read or dealt twice."""
+    w = Window.partitionBy(*SERIES)
+    x = series.withColumns({"_m": F.avg("value").over(w), "_s": F.stddev_pop("value").over(w), "_d": F.col("value") - F.lag("value").over(w.orderBy("i"))})
+    share = lambda c: F.sum(F.when(c, 1).otherwise(0)).over(w)
+    out = share(F.abs(F.col("value") - F.col("_m")) > 2 * F.col("_s")) / F.col("n")
+    steps = share(F.abs("_d") > F.col("_s")) / F.nullif(F.col("n") - 1, F.lit(0))
+    s = F.when((F.col("n") < 10) | (F.col("_s") == 0), F.lit(0.0)).otherwise(F.least((out + 1.5 * steps) / 2.5, F.lit(1.0)))
+    return x.withColumn("_spiky", s).withColumn("mode", _mode(F.col("_spiky"), F.col("n"))).drop("_m", "_s", "_d", "_spiky")
+
+
+def _mode(spiky: Column, n: Column) -> Column:
+    return F.when(spiky > 0.2, "minmax").when(n > 100_000, "avg").when(spiky > 0.1, "m4").otherwise("lttb")
+
+
 def spikiness(series: DataFrame) -> DataFrame:
     """A row for each series: how often values stand out by two deviations, and steps by one."""
     w = Window.partitionBy(*SERIES)
@@ -115,9 +136,12 @@ def spikiness(series: DataFrame) -> DataFrame:
 
 def choose(series: DataFrame) -> DataFrame:
     """The mode that suits each series: ``id, field, n, spikiness, mode``."""
-    s, large = F.col("spikiness"), F.col("n") > 100_000
-    mode = F.when(s > 0.2, "minmax").when(large, "avg").when(s > 0.1, "m4").otherwise("lttb")
-    return spikiness(series).withColumn("mode", mode)
+    return spikiness(series).withColumn("mode", _mode(F.col("spikiness"), F.col("n")))
+
+
+def threshold_for(total: Column) -> Column:
+    """The same as ``auto_threshold`` for a column of numbers of points."""
+    return F.when(total <= 1000, total).when(total <= 10_000, 1000).when(total <= 100_000, 2000).otherwise(F.least(F.floor(total / 20), F.lit(5000))).cast("long")
 
 
 def auto_threshold(total: int) -> int:
@@ -131,20 +155,22 @@ def downsample(long: DataFrame, mode: str = "auto", threshold: int = 0, exact: b
     """``id, field, time, value``, each series by itself."""
     if mode not in MODES:
         raise ValueError(f"INVALID_REQUEST: downsampling must be one of {', '.join(MODES)}")
-    series = indexed(long)
+    return reduce_series(indexed(long), mode, DEFAULT_THRESHOLD if mode == "auto" and threshold <= 0 else threshold, exact)
+
+
+def reduce_series(series: DataFrame, mode: str, threshold: int | Column, exact: bool = False) -> DataFrame:
+    """The same for numbered series; the threshold may be a column of theirs."""
     if mode == "none":
         return series.select(*OUT)
-    if mode == "auto" and threshold <= 0:
-        threshold = DEFAULT_THRESHOLD
     if mode in ("minmax", "m4"):
         return extremes(series, mode, threshold, exact)
     if mode == "avg":
         return averages(series, threshold, exact)
     if mode == "lttb":
         return lttb(series, threshold)
-    series = series.join(choose(series).select(*SERIES, "mode"), list(SERIES))
-    pick = lambda m: series.where(F.col("mode") == m).drop("mode")
-    return extremes(pick("minmax"), "minmax", threshold, exact).unionByName(averages(pick("avg"), threshold, exact)).unionByName(extremes(pick("m4"), "m4", threshold, exact)).unionByName(lttb(pick("lttb"), threshold))
+    series = with_mode(series)
+    pick = lambda *m: series.where(F.col("mode").isin(*m))
+    return extremes(pick("minmax", "m4"), F.col("mode"), threshold, exact).unionByName(averages(pick("avg"), threshold, exact)).unionByName(lttb(pick("lttb"), threshold))
 
 
 DOWNSAMPLERS = {m: (lambda long, threshold=0, exact=False, m=m: downsample(long, m, threshold, exact)) for m in MODES}
