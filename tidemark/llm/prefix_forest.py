@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 NEAREST = 20
 TREES = 512
 BITS = 24
-SHARE = 0.21
-LEAST = 900
+SHARE = 0.2
+LEAST = 1400
 BLOCK_ROWS = 16_384
 EVERY = 20
 SEED = 7
