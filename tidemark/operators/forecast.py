@@ -289,8 +289,18 @@ def forecast(long: DataFrame, method: str = "auto", config: Config = Config()) -
 
 
 def models(long: DataFrame, method: str, config: Config = Config()) -> DataFrame:
-    """Accuracy of each series' fit under a method."""
+    """Accuracy of each series' fit under a method; ``auto``: under the one that suits it."""
+    if method not in FORECASTERS:
+        raise ValueError(f"INVALID_METHOD: {method}")
     series = indexed(long).where(F.col("n") >= config.min_points)
+    if method != "auto":
+        return _models(series, method, config)
+    x = series.join(choose(series, config), list(SERIES))
+    out = [_models(x.where(F.col("choice") == m).drop("choice"), m, config) for m in ("holt_winters", "linear", "exponential", "sma")]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).withColumn("algorithm", F.concat("algorithm", F.lit(" (auto-selected)")))
+
+
+def _models(series: DataFrame, method: str, config: Config) -> DataFrame:
     if method == "sma":
         return _model(sma_fit(series, config), "sma")
     if method == "linear":
@@ -300,6 +310,4 @@ def models(long: DataFrame, method: str, config: Config = Config()) -> DataFrame
         r = _smoothed(series, config)
         mape = F.when(F.col("r.m") > 0, 100 * F.col("r.ape") / F.col("r.m")).otherwise(0.0)
         return r.select(*SERIES, F.lit("exponential").alias("algorithm"), mape.alias("mape"), (F.col("r.ae") / F.col("n")).alias("mae"), F.sqrt(F.col("r.sse") / F.col("n")).alias("rmse"), F.col("n").cast("long").alias("data_points"))
-    if method in ("holt_winters", "arima", "prophet"):
-        return _along(method, models=True)(series, config)
-    raise ValueError(f"INVALID_METHOD: {method}")
+    return _along(method, models=True)(series, config)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import calendar
 from tidemark.operators.merge import latest
-from tidemark.sources.points import KEYS, fields_of
+from tidemark.sources.points import FILE_ROWS, KEYS, fields_of
 
 
 def file_counts(spark: SparkSession, path: str, part: str = "local_date") -> DataFrame:
@@ -16,7 +16,7 @@ def file_counts(spark: SparkSession, path: str, part: str = "local_date") -> Dat
 
 
 def compact(spark: SparkSession, path: str, staging: str, min_files: int = 4, part: str = "local_date", keys: tuple[str, ...] = KEYS, dry_run: bool = False) -> list:
-    """Rewrites the partitions with more than ``min_files`` files as one file each, the last write of each key alone.
+    """Rewrites the partitions with more than ``min_files`` files as few large ones, the last write of each key alone; ranges of the keys share the work.
 
     The new files are written to ``staging`` first, as they can't be read and overwritten at once.
     """
@@ -24,8 +24,9 @@ def compact(spark: SparkSession, path: str, staging: str, min_files: int = 4, pa
     if crowded and not dry_run:
         x = spark.read.parquet(path).where(F.col(part).isin(crowded))
         x = latest(x, keys) if "inserted_at" in x.columns else x.dropDuplicates(list(keys))
-        x.repartition(part).sortWithinPartitions(part, *keys).write.mode("overwrite").partitionBy(part).parquet(staging)
-        spark.read.parquet(staging).repartition(part).sortWithinPartitions(part, *keys).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(part).parquet(path)
+        write = lambda x, to: x.repartitionByRange(part, *keys).sortWithinPartitions(part, *keys).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").partitionBy(part).parquet(to)
+        write(x, staging)
+        write(spark.read.parquet(staging), path)
     return crowded
 
 

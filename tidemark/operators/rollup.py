@@ -60,18 +60,34 @@ def project(rollups: DataFrame, name: str, fields: list[str] | None = None) -> D
     return x.select("id", F.col("bucket").alias("time"), "field", metric(name).alias("value")).where("value is not null")
 
 
-def scan(rollups: DataFrame, ids=None, start=None, end=None) -> DataFrame:
-    """Rollup rows whose bucket lies in a range; both ends count."""
+def scan(rollups: DataFrame, ids=None, start=None, end=None, level: str | None = None, tz: str = "UTC") -> DataFrame:
+    """Rollup rows whose bucket lies in a range; both ends count.
+
+    Of a stored table, whose level is given, the range also bounds the partitions, as Spark can't derive them from the buckets.
+    """
     x = rollups if ids is None else rollups.where(F.col("id").isin(list(ids)))
-    x = x if start is None else x.where(F.col("bucket") >= F.lit(start).cast("timestamp"))
-    return x if end is None else x.where(F.col("bucket") <= F.lit(end).cast("timestamp"))
+    part = calendar.partition_column(level) if level else None
+    for t, after in ((start, True), (end, False)):
+        if t is None:
+            continue
+        t = F.lit(t).cast("timestamp")
+        x = x.where(F.col("bucket") >= t if after else F.col("bucket") <= t)
+        if part and part in x.columns:
+            own = calendar.partition_value(t, level, tz).cast(x.schema[part].dataType)
+            x = x.where(F.col(part) >= own if after else F.col(part) <= own)
+    return x
+
+
+#: Rows that one written file holds at most.
+FILE_ROWS = 2_000_000
 
 
 def write(rollups: DataFrame, path: str, level: str, tz: str = "UTC") -> None:
-    """Replaces the partitions that the rows belong to, and no others."""
+    """Replaces the partitions that the rows belong to, and no others. Ranges of the key, cut by the data, share a partition's rows among tasks."""
     part = calendar.partition_column(level)
     x = rollups.withColumn(part, calendar.partition_value(F.col("bucket"), level, tz))
-    x.repartition(part).sortWithinPartitions("id", "field", "bucket").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(part).parquet(path)
+    keys = [part, "id", "field", "bucket"]
+    x.repartitionByRange(*keys).sortWithinPartitions(*keys).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", FILE_ROWS).mode("overwrite").partitionBy(part).parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tidemark.functions import hashing
 from tidemark.operators import anomaly, chunks, downsample, forecast, maintain, merge, profile, resample, rollup
 from tidemark.plans import oracle
-from tidemark.plans.query import master_field, reduced
+from tidemark.plans.query import Store, master_field, reduced
+from tidemark.plans.request import QueryRequest, StreamRequest
 from tidemark.sources import points as P
 
 START, END = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
@@ -316,12 +317,82 @@ def q_replica_compare(s, d):
     return maintain.compare(group(by_user(s, d)), group(by_user(s, d).where("seq % 97 <> 0 or id = '1'"))).select("group_id", "count_mine", "count_theirs")
 
 
+def _scratch(s: SparkSession) -> str:
+    """A new folder that all executors share; one of this machine only where Spark runs on this machine alone."""
+    root = s.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root:
+        if not s.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="store-")
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+#: A request names its devices.
+ASKED = [str(k) for k in range(1, 21)]
+
+
+def stored(s: SparkSession, d: str, device: str = "user_id") -> Store:
+    """A store of all events with three fields of different kinds, and a number twice as large."""
+    x = _read(s, d, "events")
+    fields = {"value": F.col("value"), "twice": 2 * F.col("value"), "kind": F.col("event_type"), "large": F.col("value") > 50}
+    store = Store(s, _scratch(s))
+    store.write("db", "events", P.to_points(x, device, "ts", fields, "ts", "event_id"))
+    return store
+
+
+def _asked(kind=QueryRequest, ids=None, start="2020-01-01T00:00:00Z", end="2030-01-01T00:00:00Z", **more):
+    return kind("db", "events", ids or ASKED, start, end, **more)
+
+
+def q_query_mixed_fields(s, d):
+    x = stored(s, d).query(_asked(fields=["kind", "value", "large", "absent"], limit=400))
+    return _points(x, "kind", "value", "large", "absent")
+
+
+def q_query_limit_rollup(s, d):
+    store = stored(s, d)
+    store.rebuild("db", "events")
+    x = store.query(_asked(start="2024-01-05T00:00:00Z", end="2024-01-12T00:00:00Z", interval="1h", aggregation="max", limit=25))
+    return _points(x, "twice", "value")
+
+
+def _auto_threshold(mode: str):
+    def run(s, d):
+        kinds = [r[0] for r in _read(s, d, "events").select("event_type").distinct().collect()]
+        return _points(stored(s, d, "event_type").query(_asked(ids=kinds, fields=["value"], downsampling=mode)), "value")
+
+    return run
+
+
+q_query_auto_threshold_minmax = _auto_threshold("minmax")
+q_query_auto_threshold_m4 = _auto_threshold("m4")
+q_query_auto_threshold_avg = _auto_threshold("avg")
+
+
+def q_chunk_points(s, d):
+    x = stored(s, d).chunks(_asked(StreamRequest, start="2024-01-01T00:00:00Z", end="2024-01-30T00:00:00Z", chunk_size=50))
+    return _points(x, "chunk", "kind", "value", "twice", "large")
+
+
+def q_project_fields_whole(s, d):
+    """The projection over all suppliers."""
+    return _points(P.scan(shipments(s, d), fields=["quantity", "absent"]), "seq", "quantity", "absent")
+
+
+def q_chunk_by_interval_whole(s, d):
+    """Chunks of the table's whole span."""
+    return chunks.by_interval(by_user(s, d), START, "6h").groupBy("chunk").agg(F.count("*").alias("points"), F.min(F.unix_micros("time")).alias("first_us"))
+
+
+def q_rollup_metric_whole(s, d):
+    """A metric of the rollups of all devices and days."""
+    return _points(rollup.project(rollup.rollup(P.to_long(by_user(s, d)), "1h"), "max_time"), "value")
+
+
 def q_stream_rollup_1h(s, d):
-    from tidemark.plans.query import Store
     from tidemark.streaming import ingest
 
-    root = s.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="stream-")
-    root = f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    root = _scratch(s)
     store = Store(s, root)
     x = s.readStream.schema(_read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
     points = P.to_points(x, "user_id", "ts", ["value"], "ts", "event_id")

@@ -109,7 +109,38 @@ _AUTO_CTES, _AUTO = lttb(150, "(SELECT s.* FROM s JOIN mo USING (id) WHERE mode
 _PICKED = lambda m: f"(SELECT s.* FROM s JOIN mo USING (id) WHERE mode = '{m}')"
 _CHOSEN = lambda c: f"(SELECT s.* FROM s JOIN ch USING (id) WHERE choice = '{c}')"
 
+# what a store keeps: the last write of a moment
+KEPT = "k AS (SELECT user_id::VARCHAR AS id, ts AS time, value, event_type AS kind, value > 50 AS large FROM events QUALIFY row_number() OVER (PARTITION BY user_id, ts ORDER BY event_id DESC) = 1)"
+ASKED = "(" + ", ".join(f"'{k}'" for k in range(1, 21)) + ")"
+TYPE_KEPT = "u AS (SELECT event_type AS id, ts AS time, value, event_id AS seq FROM events QUALIFY row_number() OVER (PARTITION BY event_type, ts ORDER BY event_id DESC) = 1)"
+THRESHOLD = "th AS (SELECT CASE WHEN count(*) <= 1000 THEN count(*) WHEN count(*) <= 10000 THEN 1000 WHEN count(*) <= 100000 THEN 2000 ELSE least(count(*) // 20, 5000) END AS t FROM u)"
+
+
+def by_threshold(per: int, rest: str) -> str:
+    """A downsampling whose threshold follows from the number of points of all devices."""
+    return f"WITH {TYPE_KEPT}, {SERIES}, {THRESHOLD}, {bucketed('(SELECT t FROM th)', f'(SELECT greatest(1, t // {per}) FROM th)')} {rest}"
+
+
+def fnv1a(text: str) -> str:
+    """FNV-1a with 32 bits, letter by letter; the letters are ASCII."""
+    return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619::BIGINT) % 4294967296)"
+
+
 SQL = {
+    "query_mixed_fields": f"WITH {KEPT} SELECT id, epoch_us(time) AS time_us, kind, value, large, NULL::DOUBLE AS absent FROM k WHERE id IN {ASKED} QUALIFY row_number() OVER (ORDER BY id, time) <= 400",
+    "query_limit_rollup": f"WITH {KEPT} SELECT id, epoch_us(date_trunc('hour', time)) AS time_us, max(2 * value) AS twice, max(value) AS value FROM k WHERE id IN {ASKED} AND date_trunc('hour', time) BETWEEN {START} AND {END} GROUP BY ALL ORDER BY id, time_us LIMIT 25",
+    "query_auto_threshold_minmax": by_threshold(2, extremes(False).replace("round(value, 6)", "value")),
+    "query_auto_threshold_m4": by_threshold(4, extremes(True).replace("round(value, 6)", "value")),
+    "query_auto_threshold_avg": by_threshold(1, f"SELECT u.id, epoch_us(u.time) AS time_us, u.value FROM u JOIN ({averages()}) AS a ON a.id = u.id AND a.time_us = epoch_us(u.time)"),
+    "chunk_points": f"WITH {KEPT} SELECT id, epoch_us(time) AS time_us, (row_number() OVER (ORDER BY id, time) - 1) // 50 AS chunk, kind, value, 2 * value AS twice, large FROM k WHERE id IN {ASKED} AND time BETWEEN TIMESTAMP '2024-01-01' AND TIMESTAMP '2024-01-30'",
+    "project_fields_whole": "SELECT l_suppkey::VARCHAR AS id, epoch_us(l_shipdate) AS time_us, l_orderkey * 10 + l_linenumber AS seq, l_quantity AS quantity, NULL::DOUBLE AS absent FROM lineitem",
+    "chunk_by_interval_whole": f"WITH {USER} SELECT floor((epoch_us(time) - epoch_us({START})) / 21600000000)::BIGINT AS chunk, count(*) AS points, min(epoch_us(time)) AS first_us FROM u GROUP BY ALL",
+    "rollup_metric_whole": f"""WITH {USER}, b AS (SELECT id, date_trunc('hour', time) AS bucket, time, value, max(value) OVER (PARTITION BY id, date_trunc('hour', time)) AS hi FROM u)
+      SELECT id, epoch_us(bucket) AS time_us, (epoch_us(min(time) FILTER (value = hi)) // 1000)::DOUBLE AS value FROM b GROUP BY id, bucket""",
+    "group_routing": f"WITH {USER} SELECT id, {fnv1a("'db:events:' || id")} AS hash, ({fnv1a("'db:events:' || id")} % 256)::INT AS group_id FROM (SELECT DISTINCT id FROM u)",
+    "checksum": """WITH h AS (SELECT sha256(user_id::VARCHAR || '|' || epoch_us(ts)::VARCHAR || '|value=' || value::VARCHAR) AS x FROM events),
+      t AS (SELECT count(*) AS points, (sum(('0x' || x[1:8])::BIGINT) % 4294967296)::BIGINT AS a, (sum(('0x' || x[9:16])::BIGINT) % 4294967296)::BIGINT AS b FROM h)
+      SELECT printf('%08x%08x', a, b) AS checksum, points FROM t""",
     "scan_range": f"WITH {USER} SELECT id, epoch_us(time) AS time_us, value FROM u WHERE time BETWEEN {START} AND {END}",
     "scan_devices": f"WITH {USER} SELECT id, epoch_us(time) AS time_us, value FROM u WHERE time BETWEEN {START} AND {END} AND id IN ('1', '3', '7')",
     "project_fields": "SELECT l_suppkey::VARCHAR AS id, epoch_us(l_shipdate) AS time_us, l_orderkey * 10 + l_linenumber AS seq, l_quantity AS quantity, NULL::DOUBLE AS absent FROM lineitem WHERE l_suppkey IN (1, 2)",

@@ -39,6 +39,38 @@ class Store:
     def rollups(self, r, level: str) -> DataFrame:
         return rollup.read(self.spark, self.path(r.database, r.collection, level))
 
+    def query(self, r: QueryRequest) -> DataFrame:
+        """A request's result: ``id, time`` and a column for each field, of its own type. Requested fields that no point has are null."""
+        r = r.defaults()
+        r.validate()
+        return thinned(points(self, r), r.downsampling, r.downsampling_threshold)
+
+    def stream(self, r: StreamRequest) -> Iterator[dict]:
+        return chunks.events(self.chunks(r))
+
+    def chunks(self, r: StreamRequest) -> DataFrame:
+        """The result with ``chunk``; each chunk is downsampled by itself."""
+        r = r.defaults()
+        r.validate()
+        x = points(self, r)
+        x = chunks.by_interval(x, r.start, r.chunk_interval) if r.chunk_interval else chunks.by_size(x, r.chunk_size or 1000)
+        return thinned(x, r.downsampling, r.downsampling_threshold, ("chunk",))
+
+    def export(self, r: ExportRequest, path: str) -> None:
+        """The result as CSV with a header or as JSON objects, with times in the request's own offset."""
+        x = self.query(r)
+        x = x.repartitionByRange("id", "time").sortWithinPartitions("id", "time").withColumn("time", calendar.rendered(F.col("time"), r.zone))
+        writer = x.write.mode("overwrite")
+        writer.option("header", True).option("nullValue", "").csv(path) if r.format == "csv" else writer.option("ignoreNullFields", "false").json(path)
+
+    def present(self, r: QueryRequest) -> DataFrame:
+        """One JSON object for each device: its times in the request's own offset, and an array for each field."""
+        x = self.query(r)
+        fields = P.fields_of(x)
+        x = x.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("time", *fields))).alias("p"))
+        arrays = F.struct(*[F.col("p").getField(f).alias(f) for f in fields])
+        return x.select(F.to_json(F.struct("id", F.transform("p", lambda p: calendar.rendered(p["time"], r.zone)).alias("times"), arrays.alias("fields")), {"ignoreNullFields": "false"}).alias("value"))
+
     def write(self, database: str, collection: str, points: DataFrame) -> None:
         P.write_points(points, self.path(database, collection), self.tz)
 
@@ -51,12 +83,50 @@ class Store:
             rollup.write(rollup.merge(below, level, self.tz), self.path(database, collection, level), level, self.tz)
 
 
-def series(store: Store, r: QueryRequest) -> DataFrame:
-    """Long points that a request asks for: of raw points, or a metric of the rollup of its interval."""
+def points(store: Store, r: QueryRequest) -> DataFrame:
+    """Wide points that a request asks for, with all kinds of fields: raw ones, or a metric of the rollup of its interval. Its limit counts points."""
     if r.level is None:
-        return P.to_long(merge.limit_rows(store.raw(r), r.limit), r.fields or None)
-    x = rollup.scan(store.rollups(r, r.level), r.ids, r.start, r.end)
-    return merge.limit_rows(rollup.project(x, r.aggregation, r.fields or None), r.limit)
+        x = merge.limit_rows(store.raw(r), r.limit)
+        have = P.fields_of(x)
+        return x.select("id", "time", *[F.col(f) if f in have else F.lit(None).cast("double").alias(f) for f in r.fields or have])
+    x = rollup.project(rollup.scan(store.rollups(r, r.level), r.ids, r.start, r.end, level=r.level, tz=store.tz), r.aggregation, r.fields or None)
+    fields = r.fields or [f["field"] for f in x.select("field").distinct().orderBy("field").collect()]  # as many as a collection has
+    return merge.limit_rows(wide(x, fields), r.limit)
+
+
+def thinned(x: DataFrame, mode: str, threshold: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Wide points downsampled as queries do it: of each device (of each part that ``by`` names), the first numeric field that has
+    values chooses the times, and all fields keep what they have there. A device without such a field stays whole.
+
+    Without a threshold it follows from the number of points of all devices.
+    """
+    if mode == "none":
+        return x
+    numeric = sorted(P.fields_of(x.drop(*by), numeric=True))
+    if not numeric:
+        return x
+    x = x.withColumn("_part", F.to_json(F.struct(*by, "id")))
+    has = F.array(*[F.when(F.max(F.col(f).isNotNull()), F.lit(f)) for f in numeric])
+    master = x.groupBy("_part").agg(F.get(F.array_compact(has), F.lit(0)).alias("_master")).where("_master is not null")
+    x = x.join(master, "_part", "left")
+    value = F.coalesce(*[F.when(F.col("_master") == f, F.col(f).cast("double")) for f in numeric])
+    long = x.where("_master is not null").select(F.col("_part").alias("id"), F.col("_master").alias("field"), "time", value.alias("value"))
+    long = indexed(long.where("value is not null"))
+    if threshold <= 0:
+        if by:  # a chunk's own number of points
+            total = x.groupBy(*by).agg(F.count("*").alias("_total"))
+            parts = x.select("_part", *by).distinct().join(total, list(by)).select(F.col("_part").alias("id"), downsample.threshold_for(F.col("_total")).alias("_threshold"))
+            long, threshold = long.join(parts, "id"), F.col("_threshold")
+        else:
+            threshold = downsample.auto_threshold(x.count())
+    chosen = downsample.reduce_series(long, mode, threshold).select(F.col("id").alias("_part"), "time").distinct()
+    kept = x.where("_master is not null").join(chosen, ["_part", "time"], "left_semi")
+    return kept.unionByName(x.where("_master is null")).drop("_part", "_master")
+
+
+def series(store: Store, r: QueryRequest) -> DataFrame:
+    """The numeric fields of what a request asks for, as long points."""
+    return P.to_long(points(store, r))
 
 
 def wide(long: DataFrame, fields: list[str]) -> DataFrame:
@@ -81,11 +151,11 @@ def reduced(long: DataFrame, mode: str, threshold: int) -> DataFrame:
 
 
 def query(store: Store, r: QueryRequest, second_precision: bool = False) -> DataFrame:
-    """``id, time, field, value``."""
+    """The numeric fields of a result as long points: ``id, time, field, value``. ``Store.query`` has all fields."""
     r.validate()
     long = series(store, r)
     threshold = r.downsampling_threshold
-    if r.downsampling == "auto" and threshold == 0:
+    if r.downsampling != "none" and threshold == 0:
         threshold = downsample.auto_threshold(long.select("id", "time").distinct().count())
     out = reduced(long, r.downsampling, threshold).select("id", "time", "field", "value")
     return out.withColumn("time", F.date_trunc("second", "time")) if second_precision else out
@@ -135,7 +205,10 @@ def predict(store: Store, r: ForecastRequest, models: bool = False) -> DataFrame
         raise RequestError(r.algorithm, "INVALID_METHOD")
     long = series(store, q)
     long = long if r.field else master_field(long)
-    config = forecast.Config(horizon=r.horizon, step=calendar.forecast_step(r.interval))
+    unknown = set(r.params) - {"window", "alpha", "beta", "gamma", "period", "confidence"}
+    if unknown:
+        raise RequestError(f"params: unknown {', '.join(sorted(unknown))}")
+    config = forecast.Config(horizon=r.horizon, step=calendar.forecast_step(r.interval), **r.params)
     return forecast.models(long, r.algorithm, config) if models else forecast.forecast(long, r.algorithm, config)
 
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import dataclasses
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import datetime, timedelta
 
 from tidemark.functions.calendar import CHUNK_STEPS, LEVEL_OF_INTERVAL, RAW_INTERVALS
@@ -28,7 +29,7 @@ class RequestError(ValueError):
 
 def moment(text: str, name: str) -> datetime:
     if not _RFC3339.match(text):
-        raise RequestError(f"{name} must be in RFC3339 format")
+        raise RequestError(f"{name}: expected a time like 2024-01-31T00:00:00Z")
     return datetime.fromisoformat(text.replace("Z", "+00:00"))
 
 
@@ -51,29 +52,39 @@ class QueryRequest:
 
     ranges = QUERY_RANGE
 
+    def defaults(self):
+        """The same request with what it leaves open filled in: sum, no downsampling, 3 deviations, and 1000 points where the limit is negative."""
+        return replace(self, aggregation=self.aggregation or "sum", downsampling=self.downsampling or "none", anomaly_threshold=self.anomaly_threshold if self.anomaly_threshold > 0 else 3.0, limit=1000 if self.limit < 0 else self.limit, downsampling_threshold=max(0, self.downsampling_threshold))
+
+    @property
+    def zone(self) -> str:
+        """The offset that the request's start is given in; results show their times in it."""
+        text = self.start_time[-6:]
+        return text if text[:1] in "+-" and text[3:4] == ":" else "UTC"
+
     def validate(self) -> QueryRequest:
         if not self.database or not self.collection:
-            raise RequestError("database and collection are required")
+            raise RequestError("name a database and a collection")
         if not self.ids:
-            raise RequestError("'ids' (device IDs) is required")
+            raise RequestError("ids: name at least one device")
         if not self.start_time or not self.end_time:
-            raise RequestError("start_time and end_time are required")
+            raise RequestError("give both start_time and end_time")
         self.start, self.end = moment(self.start_time, "start_time"), moment(self.end_time, "end_time")
         if self.end < self.start:
-            raise RequestError("end_time must be after start_time")
+            raise RequestError("end_time lies before start_time")
         if self.limit < 0:
-            raise RequestError("limit must be a positive integer")
+            raise RequestError("limit: expected 0 or more")
         if self.interval and self.interval not in INTERVALS:
-            raise RequestError(f"interval must be one of: {', '.join(INTERVALS)}")
+            raise RequestError(f"interval: expected one of {', '.join(INTERVALS)}")
         bound = self.ranges.get(self.interval)
         if bound and self.end - self.start > bound:
-            raise RequestError(f"the time range for interval {self.interval or 'none'} cannot exceed {bound.days} days")
+            raise RequestError(f"interval {self.interval or 'none'} allows {bound.days} days at most")
         if self.aggregation not in METRICS:
-            raise RequestError(f"aggregation must be one of: {', '.join(METRICS)}")
+            raise RequestError(f"aggregation: expected one of {', '.join(METRICS)}")
         if self.downsampling not in MODES:
-            raise RequestError(f"downsampling must be one of: {', '.join(MODES)}")
+            raise RequestError(f"downsampling: expected one of {', '.join(MODES)}")
         if self.downsampling != "none" and self.downsampling_threshold < 0:
-            raise RequestError("downsampling_threshold must be a non-negative integer")
+            raise RequestError("downsampling_threshold: expected 0 or more")
         return self
 
     @property
@@ -92,13 +103,13 @@ class StreamRequest(QueryRequest):
     def validate(self) -> StreamRequest:
         super().validate()
         if self.chunk_size > 0 and self.chunk_interval:
-            raise RequestError("chunk_size and chunk_interval are mutually exclusive")
+            raise RequestError("chunk_size, chunk_interval: give one of them")
         if self.chunk_size > 0 and not LEAST_CHUNK <= self.chunk_size <= MOST_CHUNK:
-            raise RequestError(f"chunk_size must be from {LEAST_CHUNK} to {MOST_CHUNK}")
+            raise RequestError(f"chunk_size: expected {LEAST_CHUNK} to {MOST_CHUNK}")
         if self.chunk_interval and self.chunk_interval not in CHUNK_STEPS:
-            raise RequestError(f"chunk_interval must be one of: {', '.join(CHUNK_STEPS)}")
+            raise RequestError(f"chunk_interval: expected one of {', '.join(CHUNK_STEPS)}")
         if self.limit > 0:
-            raise RequestError("limit is not supported for streaming queries")
+            raise RequestError("limit: a stream has none")
         return self
 
 
@@ -111,7 +122,7 @@ class ExportRequest(QueryRequest):
     def validate(self) -> ExportRequest:
         super().validate()
         if self.format not in FORMATS:
-            raise RequestError(f"format must be one of: {', '.join(FORMATS)}")
+            raise RequestError(f"format: expected one of {', '.join(FORMATS)}")
         return self
 
 
@@ -126,3 +137,4 @@ class ForecastRequest:
     algorithm: str = "auto"
     horizon: int = 24
     interval: str = "1h"
+    params: dict = dataclasses.field(default_factory=dict)

@@ -15,6 +15,8 @@ KEYS = ("id", "time")
 META = ("id", "time", "inserted_at", "seq", "local_date", "group_id")
 NUMERIC = (T.DoubleType, T.FloatType, T.LongType, T.IntegerType, T.ShortType, T.ByteType, T.DecimalType)
 MAX_BATCH = 10_000
+#: Rows that one written file holds at most.
+FILE_ROWS = 5_000_000
 
 
 def to_points(df: DataFrame, id: str | Column, time: str | Column, fields: dict[str, str | Column] | Iterable[str], inserted_at: str | Column | None = None, seq: str | Column | None = None) -> DataFrame:
@@ -109,7 +111,9 @@ def write_points(points: DataFrame, path: str, tz: str = "UTC", mode: str = "app
     ``bloom`` adds Bloom filters of the devices, for tables where single devices are asked for.
     """
     x = points.withColumn("local_date", calendar.local_date(F.col("time"), tz))
-    x.repartition("local_date", F.pmod(F.hash("id"), F.lit(8))).sortWithinPartitions("local_date", "id", "time").write.option("parquet.bloom.filter.enabled#id", str(bloom).lower()).mode(mode).partitionBy("local_date").parquet(path)
+    # ranges cut by the data: a day of many points is shared among tasks, days of few share one
+    x = x.repartitionByRange("local_date", "id", "time").sortWithinPartitions("local_date", "id", "time")
+    x.write.option("parquet.bloom.filter.enabled#id", str(bloom).lower()).option("maxRecordsPerFile", FILE_ROWS).mode(mode).partitionBy("local_date").parquet(path)
 
 
 def dump_csv(spark: SparkSession, path: str, out: str) -> None:
@@ -127,10 +131,10 @@ def partitions(points: DataFrame) -> DataFrame:
 
 
 def parse_json(lines: DataFrame, fields: dict[str, str], column: str = "value") -> DataFrame:
-    """JSON points, each a string: RFC 3339 ``time``, string ``id``, and fields by name and type."""
+    """JSON points, each a string: RFC 3339 ``time``, string ``id``, and fields by name and type. What can't be read is null; ingest sets rows without id or time aside."""
     kind = T.StructType([T.StructField("id", T.StringType()), T.StructField("time", T.StringType()), *[T.StructField(k, T._parse_datatype_string(v)) for k, v in fields.items()]])
     x = lines.withColumn("_p", F.from_json(F.col(column), kind))
-    return x.select(F.col("_p.id").alias("id"), F.to_timestamp("_p.time").alias("time"), *[F.col(f"_p.{k}").alias(k) for k in fields])
+    return x.select(F.col("_p.id").alias("id"), F.try_to_timestamp("_p.time").alias("time"), *[F.col(f"_p.{k}").alias(k) for k in fields])
 
 
 def read_json_batch(spark: SparkSession, records: list[dict]) -> DataFrame:

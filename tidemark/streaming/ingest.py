@@ -38,8 +38,12 @@ def to_kafka(points: DataFrame, servers: str, topic: str) -> None:
 def absorb(store: Store, database: str, collection: str, batch: DataFrame, batch_id: int) -> None:
     """One batch into the raw table and the rollups that it touches."""
     batch = batch.withColumns({"inserted_at": F.coalesce(*([F.col("inserted_at")] if "inserted_at" in batch.columns else []), F.current_timestamp()), "seq": (F.lit(batch_id).cast("long") * (1 << 40) + F.monotonically_increasing_id()) if "seq" not in batch.columns else F.col("seq")})
-    batch = batch.persist()
+    held = batch = batch.persist()
     try:
+        bad = batch.where("id is null or time is null")
+        if not bad.isEmpty():  # one bad message must not stop the stream; it goes where it can be counted and mended
+            bad.withColumn("batch", F.lit(batch_id)).write.mode("append").option("ignoreNullFields", "false").json(f"{store.path(database, collection)}_rejected")
+        batch = batch.where("id is not null and time is not null")
         touched = sorted(r[0] for r in batch.select(calendar.local_date(F.col("time"), store.tz)).distinct().collect() if r[0])
         if not touched:
             return
@@ -48,7 +52,7 @@ def absorb(store: Store, database: str, collection: str, batch: DataFrame, batch
         P.write_points(batch, path, store.tz)
         refresh(store, database, collection, touched)
     finally:
-        batch.unpersist()
+        held.unpersist()
 
 
 def refresh(store: Store, database: str, collection: str, dates: list) -> None:
