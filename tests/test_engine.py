@@ -370,6 +370,9 @@ def test_catalog(spark, tmp_path):
     x = P.to_points(series(spark, [1.0]), "id", "time", {"v": "value"})
     assert c.track("db", "m", x).first_data_date == "2024-05-15"
     assert c.collection("db", "m").inferred == {"v": "float"}
+    c.track("db", "m", x.withColumn("id", F.lit("later")))
+    c.track("db", "m", x.withColumn("id", F.lit(None).cast("string")))
+    assert sorted(r.id for r in c.devices("db", "m").collect()) == sorted([x.first().id, "later"])
     c.drop_collection("db", "m")
     c.drop_database("db")
     assert c.list() == []
@@ -415,6 +418,12 @@ def test_predicates_gaps_and_dumps(spark, tmp_path):
         P.condition("value", "LIKE", "x")
     got = resample.fill_gaps(x).orderBy("bucket").collect()
     assert [r.value for r in got] == [1.0, None, 5.0, None, 3.0] and [r["count"] for r in got] == [1, 0, 1, 0, 1]
+    short = resample.fill_gaps(series(spark, [1.0, 2.0, 4.0], dt.timedelta(minutes=7)), "5m").orderBy("bucket").collect()
+    assert [r.value for r in short] == [1.0, 2.0, 4.0]
+    whole = resample.fill_gaps(x, "1m", tz="Asia/Kolkata").orderBy("bucket").collect()  # 5.5 hours off, two days in that zone
+    assert len(whole) == 241 and [(k, r.value) for k, r in enumerate(whole) if r["count"]] == [(0, 1.0), (120, 5.0), (240, 3.0)]
+    days = resample.fill_gaps(series(spark, [1.0, 5.0], dt.timedelta(days=3)), "5m")
+    assert days.count() == 3 * 288 + 1 and days.select("bucket").distinct().count() == 865
     assert [r.value for r in resample.fill_gaps(x, carry=True).orderBy("bucket").collect()] == [1.0, 1.0, 5.0, 5.0, 3.0]
     points = P.to_points(x, "id", "time", {"v": "value"})
     P.write_points(points, str(tmp_path / "t"), bloom=True)

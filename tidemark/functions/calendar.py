@@ -13,6 +13,8 @@ UNITS = {"1h": "hour", "1d": "day", "1M": "month", "1y": "year"}
 LEVEL_OF_INTERVAL = {"1h": "1h", "1d": "1d", "1mo": "1M", "1y": "1y"}
 #: Intervals that are answered from raw points.
 RAW_INTERVALS = ("1m", "5m")
+#: Buckets below an hour, in microseconds. Zones differ by whole multiples of these, so that their grid is the same in all.
+SHORT_STEPS = {"1m": 60_000_000, "5m": 300_000_000}
 FORECAST_STEPS = {
     "1m": timedelta(minutes=1), "5m": timedelta(minutes=5), "15m": timedelta(minutes=15), "30m": timedelta(minutes=30),
     "1h": timedelta(hours=1), "4h": timedelta(hours=4), "1d": timedelta(days=1), "1w": timedelta(weeks=1),
@@ -25,6 +27,9 @@ CHUNK_STEPS = {
 
 def bucket(time: Column, level: str, tz: str = "UTC") -> Column:
     """Start of the wall-clock bucket, as an instant. A repeated hour of a fall-back day is one bucket."""
+    if level in SHORT_STEPS:
+        at = F.unix_micros(time)
+        return F.timestamp_micros(at - F.pmod(at, F.lit(SHORT_STEPS[level])))
     unit = UNITS[level]
     return F.date_trunc(unit, time) if tz == "UTC" else F.to_utc_timestamp(F.date_trunc(unit, F.from_utc_timestamp(time, tz)), tz)
 

@@ -98,6 +98,11 @@ def q_gap_fill(s, d):
     return x.select("id", us("bucket"), "count", r6("value"))
 
 
+def q_gap_fill_5m(s, d):
+    x = resample.fill_gaps(P.to_long(by_type(s, d)), "5m")
+    return x.select("id", us("bucket"), "count", r6("value"))
+
+
 def q_device_list(s, d):
     return P.devices(by_user(s, d))
 

@@ -148,6 +148,9 @@ SQL = {
     "gap_fill": f"""WITH {USER}, h AS (SELECT id, date_trunc('hour', time) AS b, count(*) AS c, avg(value) AS v FROM u GROUP BY ALL),
       e AS (SELECT id, unnest(generate_series(min(b), max(b), INTERVAL 1 HOUR)) AS b FROM h GROUP BY id)
       SELECT id, epoch_us(b) AS bucket_us, coalesce(c, 0) AS count, round(last_value(v IGNORE NULLS) OVER (PARTITION BY id ORDER BY b), 6) AS value FROM e LEFT JOIN h USING (id, b)""",
+    "gap_fill_5m": f"""WITH {TYPE}, h AS (SELECT id, time_bucket(INTERVAL 5 MINUTE, time) AS b, count(*) AS c, avg(value) AS v FROM u GROUP BY ALL),
+      e AS (SELECT id, unnest(generate_series(min(b), max(b), INTERVAL 5 MINUTE)) AS b FROM h GROUP BY id)
+      SELECT id, epoch_us(b) AS bucket_us, coalesce(c, 0) AS count, round(v, 6) AS value FROM e LEFT JOIN h USING (id, b)""",
     "device_list": f"WITH {USER} SELECT DISTINCT id FROM u",
     "unpivot_long": f"WITH {SHIP} SELECT id, field, count(*) AS points, round(sum(value), 4) AS total FROM u WHERE field IN ('quantity', 'discount') GROUP BY id, field",
     "dedup_lww": f"WITH {AGAIN} SELECT id, epoch_us(time) AS time_us, value, seq FROM x QUALIFY row_number() OVER (PARTITION BY id, time ORDER BY ins DESC, seq DESC) = 1",

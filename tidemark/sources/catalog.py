@@ -109,9 +109,23 @@ class Catalog:
         db = self.get(database)
         del db.collections[name]
         self._save(db)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(self._devices_path(database, name))
+        at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+    def _devices_path(self, database: str, name: str) -> str:
+        return f"{self.root}/_catalog/devices/{database}/of-{name}"
+
+    def devices(self, database: str, name: str) -> DataFrame:
+        """The ids that points have brought. They are a table and not part of the JSON, as there may be very many."""
+        self.collection(database, name)
+        path = self._devices_path(database, name)
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at):
+            return self.spark.createDataFrame([], "id string")
+        return self.spark.read.schema("id string").parquet(path).distinct()
 
     def track(self, database: str, name: str, points: DataFrame, tz: str = "UTC") -> Collection:
-        """Notes the first date and the types of the fields that points bring. Known types stay."""
+        """Notes the first date, the devices and the types of the fields that points bring. Known types stay."""
         from tidemark.functions.calendar import local_date
 
         self.collection(database, name)
@@ -121,4 +135,6 @@ class Catalog:
         c.first_data_date = min(filter(None, [first, c.first_data_date]), default=None)
         c.inferred = P.inferred_types(points) | c.inferred
         self._save(db)
+        ids = points.select("id").where("id is not null").distinct()
+        ids.join(self.devices(database, name), "id", "left_anti").write.mode("append").parquet(self._devices_path(database, name))
         return c
