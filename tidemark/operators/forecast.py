@@ -127,7 +127,7 @@ def holt_winters(x: np.ndarray, config: Config) -> tuple[np.ndarray, np.ndarray,
     p = config.period if 0 < config.period <= n // 2 else 24
     if n < 2 * p:
         return *smooth(x, config), "exponential"
-    level = x[:p].mean()
+    level = x[:p].cumsum()[-1] / p  # summed in order: noisy series carry the last bit of this on to their forecasts
     slope = (x[p] - x[0]) / p
     season = np.ones(n)
     season[:p] = x[:p] / level if level else 1.0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +13,9 @@ from tidemark.functions import hashing
 from tidemark.operators import anomaly, chunks, downsample, forecast, maintain, merge, profile, resample, rollup
 from tidemark.plans import oracle
 from tidemark.plans.query import Store, master_field, reduced
-from tidemark.plans.request import QueryRequest, StreamRequest
+from tidemark.plans.request import ExportRequest, QueryRequest, StreamRequest
 from tidemark.sources import points as P
+from tidemark.sources.catalog import Catalog
 
 START, END = "2024-01-05 00:00:00", "2024-01-12 00:00:00"
 
@@ -394,14 +396,128 @@ def q_rollup_metric_whole(s, d):
     return _points(rollup.project(rollup.rollup(P.to_long(by_user(s, d)), "1h"), "max_time"), "value")
 
 
+def _all_levels(store: Store) -> DataFrame:
+    """What a store keeps of all levels."""
+    level = lambda k: _rolled(rollup.read(store.spark, store.path("db", "events", k)), 8).withColumn("level", F.lit(k))
+    return reduce(DataFrame.unionByName, map(level, ("1h", "1d", "1M", "1y")))
+
+
+def q_stored_rollups(s, d):
+    store = stored(s, d)
+    store.rebuild("db", "events")
+    return _all_levels(store)
+
+
+def q_compaction(s, d):
+    """Points that two writes left, with second writes of the same moments, after compaction."""
+    store, x = Store(s, _scratch(s)), rewritten(s, d)
+    for part in (0, 1):
+        store.write("db", "events", x.where(F.col("seq") % 2 == part))
+    maintain.compact(s, store.path("db", "events"), f"{store.root}/_staging", min_files=0)
+    return _points(P.read_points(s, store.path("db", "events")), "value", "seq")
+
+
+def q_compaction_rollup(s, d):
+    store = stored(s, d)
+    store.rebuild("db", "events")
+    path = store.path("db", "events", "1h")
+    maintain.compact(s, path, f"{store.root}/_staging", min_files=0, keys=("id", "field", "bucket"))
+    return _rolled(rollup.read(s, path), 8)
+
+
+def _dates(s: SparkSession, store: Store) -> DataFrame:
+    return P.partitions(P.read_points(s, store.path("db", "events"))).select(F.col("local_date").cast("string").alias("local_date"), "rows", (F.col("files") > 0).alias("has_files"))
+
+
+def q_partition_stats(s, d):
+    return _dates(s, stored(s, d))
+
+
+def q_retention(s, d):
+    store = stored(s, d)
+    maintain.retain(s, store.path("db", "events"), "2024-01-10 00:00:00")
+    return _dates(s, store)
+
+
+def _exported(kind: str):
+    """An export, read back."""
+
+    def run(s, d):
+        store = stored(s, d)
+        path = f"{store.root}/export"
+        store.export(_asked(ExportRequest, format=kind), path)
+        reader = s.read.schema("id string, time string, value double, twice double, kind string, large boolean")
+        return reader.option("header", True).csv(path) if kind == "csv" else reader.json(path)
+
+    return run
+
+
+q_export_csv = _exported("csv")
+q_export_json = _exported("json")
+
+
+def q_present(s, d):
+    """Results as JSON objects, read back."""
+    x = stored(s, d).present(_asked(fields=["value", "kind"]))
+    x = x.select(F.from_json("value", "id string, times array<string>, fields struct<value: array<double>, kind: array<string>>").alias("o")).select("o.*")
+    total = F.aggregate("fields.value", F.lit(0.0), lambda a, v: a + v)
+    return x.select("id", F.size("times").cast("long").alias("points"), F.md5(F.array_join("times", ",")).alias("times_md5"), F.md5(F.array_join("fields.kind", ",")).alias("kinds_md5"), F.round(total, 4).alias("total"))
+
+
+def q_json_points(s, d):
+    """JSON points, of which some have a time that can't be read."""
+    time = F.when(F.col("event_id") % 13 == 0, "soon").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
+    lines = _read(s, d, "events").select(F.to_json(F.struct(F.col("user_id").cast("string").alias("id"), time.alias("time"), "value", F.col("event_type").alias("kind"))).alias("value"))
+    return _points(P.parse_json(lines, {"value": "double", "kind": "string"}), "value", "kind")
+
+
+def q_catalog_devices(s, d):
+    catalog = Catalog(s, _scratch(s))
+    catalog.create_database("db")
+    catalog.create_collection("db", "events", {"time": "timestamp", "id": "string"})
+    catalog.track("db", "events", by_user(s, d))
+    return catalog.devices("db", "events")
+
+
+def _event_stream(s: SparkSession, d: str) -> DataFrame:
+    x = s.readStream.schema(_read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
+    return P.to_points(x, "user_id", "ts", ["value"], "ts", "event_id")
+
+
+def _appended(x: DataFrame, root: str) -> DataFrame:
+    """What a stream has appended once all of its source is read."""
+    x.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/_checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return x.sparkSession.read.parquet(f"{root}/out")
+
+
+def q_stream_windows(s, d):
+    from tidemark.streaming import ingest
+
+    x = _appended(ingest.windowed(_event_stream(s, d), "value", "6 hours"), _scratch(s))
+    return x.select("id", us("bucket"), "count", r6("sum"), "min", "max")
+
+
+def q_stream_sessions(s, d):
+    from tidemark.streaming import ingest
+
+    x = _appended(ingest.sessions(_event_stream(s, d), "value", "12 hours"), _scratch(s))
+    return x.select("id", us("start"), us("end"), "count", r6("sum"))
+
+
+def q_stream_rollups(s, d):
+    """All levels that a stream keeps."""
+    from tidemark.streaming import ingest
+
+    store = Store(s, _scratch(s))
+    ingest.ingest(store, "db", "events", _event_stream(s, d), f"{store.root}/_checkpoint").awaitTermination()
+    return _all_levels(store)
+
+
 def q_stream_rollup_1h(s, d):
     from tidemark.streaming import ingest
 
-    root = _scratch(s)
-    store = Store(s, root)
-    x = s.readStream.schema(_read(s, d, "events").schema).parquet(f"{d}/events.parquet*")
-    points = P.to_points(x, "user_id", "ts", ["value"], "ts", "event_id")
-    ingest.ingest(store, "db", "events", points, f"{root}/_checkpoint").awaitTermination()
+    store = Store(s, _scratch(s))
+    ingest.ingest(store, "db", "events", _event_stream(s, d), f"{store.root}/_checkpoint").awaitTermination()
     return _rolled(rollup.read(s, store.path("db", "events", "1h")))
 
 

@@ -126,7 +126,69 @@ def fnv1a(text: str) -> str:
     return f"list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)), lambda h, c: (xor(h, c) * 16777619::BIGINT) % 4294967296)"
 
 
+def levels(base: str, field: str = "'value'") -> str:
+    """All levels of rollups, one after the other."""
+    units = {"1h": "hour", "1d": "day", "1M": "month", "1y": "year"}
+    return " UNION ALL ".join(f"SELECT *, '{k}' AS level FROM ({rolled(base, f"date_trunc('{u}', time)::TIMESTAMP", field, places=8)})" for k, u in units.items())
+
+
+KEPT_LONG = f"{KEPT}, u AS (SELECT id, time, 'value' AS field, value FROM k UNION ALL SELECT id, time, 'twice', 2 * value FROM k)"
+EXPORTED = f"WITH {KEPT} SELECT id, strftime(time, '%Y-%m-%dT%H:%M:%SZ') AS time, value, 2 * value AS twice, kind, large FROM k WHERE id IN {ASKED}"
+
+# level, slope and a ring of 24 seasons, point by point
+WINTERS = """w0 AS (SELECT *, list_reduce(v, lambda x, y: x + y) / 24 AS l FROM (SELECT id, (max(value) FILTER (i = 24) - max(value) FILTER (i = 0)) / 24 AS b, list(value ORDER BY i) FILTER (i < 24) AS v FROM s GROUP BY id)),
+hw AS (SELECT id, 0::BIGINT AS i, l, b, list_transform(v, lambda x: x / l) AS ring, pow(v[1] - l * (v[1] / l), 2) AS sse FROM w0
+  UNION ALL
+  SELECT id, i, l2, 0.1::DOUBLE * (l2 - l) + 0.9::DOUBLE * b, list_transform(ring, lambda x, k: CASE WHEN k <> i % 24 + 1 THEN x WHEN l2 = 0 THEN z ELSE 0.1::DOUBLE * value / l2 + 0.9::DOUBLE * z END), sse + pow(value - (l + b) * z, 2)
+  FROM (SELECT *, 0.3::DOUBLE * value / z + 0.7::DOUBLE * (l + b) AS l2 FROM (SELECT s.id, s.i, s.value, l, b, ring, sse, coalesce(nullif(ring[s.i % 24 + 1], 0), 1) AS z FROM hw JOIN s ON s.id = hw.id AND s.i = hw.i + 1))),"""
+WINTERS_FIT = "SELECT hw.id, s.n, l, b, ring, s.time AS last_time, sqrt(sse / (s.n - 1)) AS se FROM hw JOIN s ON s.id = hw.id AND s.i = hw.i WHERE s.i = s.n - 1"
+
+# autoregressive weights of the differences by Levinson's recursion, moving-average weights from what they leave
+ARIMA = """d AS (SELECT id, i - 1 AS t, value - lag(value) OVER (PARTITION BY id ORDER BY i) AS y FROM s QUALIFY i > 0),
+dc AS (SELECT id, t, y - avg(y) OVER (PARTITION BY id) AS c FROM d),
+dr AS (SELECT id, sum(c * c1) / sum(c * c) AS r1, sum(c * c2) / sum(c * c) AS r2 FROM (SELECT *, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM dc WINDOW w AS (PARTITION BY id ORDER BY t)) GROUP BY id),
+ph AS (SELECT id, r1 - (r2 - r1 * r1) / (1 - r1 * r1) * r1 AS p1, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM dr),
+au AS (SELECT id, t, y, p1, p2, p1 * lag(y) OVER w + p2 * lag(y, 2) OVER w AS a FROM d JOIN ph USING (id) WINDOW w AS (PARTITION BY id ORDER BY t)),
+ec AS (SELECT id, t, y - a - avg(y - a) OVER (PARTITION BY id) AS c FROM au WHERE t >= 2),
+th AS (SELECT id, 0.5::DOUBLE * sum(c * c1) / sum(c * c) AS q1, 0.5::DOUBLE * sum(c * c2) / sum(c * c) AS q2 FROM (SELECT *, lag(c) OVER w AS c1, lag(c, 2) OVER w AS c2 FROM ec WINDOW w AS (PARTITION BY id ORDER BY t)) GROUP BY id),
+ep AS (SELECT id, 1::BIGINT AS t, 0::DOUBLE AS e, 0::DOUBLE AS e1 FROM ph
+  UNION ALL SELECT au.id, au.t, au.y - (au.a + q1 * ep.e + q2 * ep.e1), ep.e FROM ep JOIN au ON au.id = ep.id AND au.t = ep.t + 1 JOIN th ON th.id = ep.id),
+rs AS (SELECT id, stddev_pop(r) AS se FROM (SELECT id, e AS r FROM ep WHERE t > 1 UNION ALL SELECT id, y FROM d WHERE t < 2) WHERE r <> 0 GROUP BY id),
+ft AS (SELECT au.id, 0 AS h, y AS y0, lag(y) OVER (PARTITION BY au.id ORDER BY au.t) AS y1, 0::DOUBLE AS total FROM au QUALIFY row_number() OVER (PARTITION BY au.id ORDER BY au.t DESC) = 1
+  UNION ALL SELECT id, h, nxt, y0, total + nxt FROM (SELECT ft.id, ft.h + 1 AS h, ft.y0, ft.total,
+    p1 * y0 + p2 * y1 + CASE ft.h WHEN 0 THEN q1 * e + q2 * e1 WHEN 1 THEN q2 * e ELSE 0 END AS nxt
+    FROM ft JOIN ph ON ph.id = ft.id JOIN th ON th.id = ft.id JOIN (SELECT id, arg_max(e, t) AS e, arg_max(e1, t) AS e1 FROM ep GROUP BY id) AS le ON le.id = ft.id WHERE ft.h < 24)),
+la AS (SELECT id, arg_max(value, i) AS v, max(time) AS last_time FROM s GROUP BY id)"""
+
+
 SQL = {
+    "stored_rollups": levels(KEPT_LONG, "field"),
+    "stream_rollups": levels(USER),
+    "compaction": f"WITH {AGAIN} SELECT id, epoch_us(time) AS time_us, value, seq FROM x QUALIFY row_number() OVER (PARTITION BY id, time ORDER BY ins DESC, seq DESC) = 1",
+    "compaction_rollup": rolled(KEPT_LONG, "date_trunc('hour', time)", "field", places=8),
+    "partition_stats": "SELECT ts::DATE::VARCHAR AS local_date, count(*) AS rows, true AS has_files FROM events GROUP BY ALL",
+    "retention": "SELECT ts::DATE::VARCHAR AS local_date, count(*) AS rows, true AS has_files FROM events WHERE ts >= TIMESTAMP '2024-01-10' GROUP BY ALL",
+    "export_csv": EXPORTED,
+    "export_json": EXPORTED,
+    "present": f"""WITH {KEPT} SELECT id, count(*) AS points, md5(string_agg(strftime(time, '%Y-%m-%dT%H:%M:%SZ'), ',' ORDER BY time)) AS times_md5, md5(string_agg(kind, ',' ORDER BY time)) AS kinds_md5, round(sum(value), 4) AS total
+      FROM k WHERE id IN {ASKED} GROUP BY id""",
+    "json_points": "SELECT user_id::VARCHAR AS id, CASE WHEN event_id % 13 <> 0 THEN epoch_us(ts) END AS time_us, value, event_type AS kind FROM events",
+    "catalog_devices": "SELECT DISTINCT user_id::VARCHAR AS id FROM events",
+    "stream_windows": f"""WITH {USER}, b AS (SELECT id, time_bucket(INTERVAL 6 HOUR, time, TIMESTAMP '2024-01-01') AS bucket, value FROM u)
+      SELECT id, epoch_us(bucket) AS bucket_us, count(*) AS count, round(sum(value), 6) AS sum, min(value) AS min, max(value) AS max FROM b
+      WHERE bucket + INTERVAL 6 HOUR <= (SELECT max(time) - INTERVAL 1 HOUR FROM u) GROUP BY id, bucket""",
+    "stream_sessions": f"""WITH {USER}, g AS (SELECT *, coalesce(time - lag(time) OVER (PARTITION BY id ORDER BY time) >= INTERVAL 12 HOUR, true)::INT AS fresh FROM u),
+      n AS (SELECT *, sum(fresh) OVER (PARTITION BY id ORDER BY time) AS k FROM g)
+      SELECT id, epoch_us(min(time)) AS start_us, epoch_us(max(time) + INTERVAL 12 HOUR) AS end_us, count(*) AS count, round(sum(value), 6) AS sum FROM n
+      GROUP BY id, k HAVING max(time) + INTERVAL 12 HOUR <= (SELECT max(time) - INTERVAL 1 HOUR FROM u)""",
+    "downsample_query": f"""WITH w AS (SELECT l_suppkey::VARCHAR AS id, l_shipdate::TIMESTAMP + to_microseconds(l_orderkey * 10 + l_linenumber) AS time, l_orderkey * 10 + l_linenumber AS seq, l_quantity AS quantity, l_extendedprice AS price, l_discount AS discount FROM lineitem),
+      u AS (SELECT id, time, seq, discount AS value FROM w), {SERIES}, {bucketed(20, 10)},
+      c AS (SELECT DISTINCT id, time_us FROM ({extremes(False)})), l AS (SELECT id, time, field, value FROM (UNPIVOT w ON quantity, price, discount INTO NAME field VALUE value))
+      SELECT l.id, epoch_us(l.time) AS time_us, field, value FROM l JOIN c ON c.id = l.id AND c.time_us = epoch_us(l.time)""",
+    "forecast_holt_winters": ahead(WINTERS_FIT, "coalesce(nullif(ring[(n - 24 + (n + h - 1) % 24) % 24 + 1], 0), 1) * (l + h * b)", "se * sqrt(h)", "holt_winters", WINTERS).replace("WITH ", "WITH RECURSIVE ", 1),
+    "forecast_arima": f"""WITH RECURSIVE {TYPE}, {SERIES}, {ARIMA}
+      SELECT ft.id, h::INT AS h, epoch_us(last_time) + h * 3600000000 AS time_us, round(v + total, 6) AS value, round(v + total - 1.96 * se * sqrt(h), 6) AS lower, round(v + total + 1.96 * se * sqrt(h), 6) AS upper, 'arima' AS algorithm
+      FROM ft JOIN la ON la.id = ft.id JOIN rs ON rs.id = ft.id WHERE h > 0""",
     "query_mixed_fields": f"WITH {KEPT} SELECT id, epoch_us(time) AS time_us, kind, value, large, NULL::DOUBLE AS absent FROM k WHERE id IN {ASKED} QUALIFY row_number() OVER (ORDER BY id, time) <= 400",
     "query_limit_rollup": f"WITH {KEPT} SELECT id, epoch_us(date_trunc('hour', time)) AS time_us, max(2 * value) AS twice, max(value) AS value FROM k WHERE id IN {ASKED} AND date_trunc('hour', time) BETWEEN {START} AND {END} GROUP BY ALL ORDER BY id, time_us LIMIT 25",
     "query_auto_threshold_minmax": by_threshold(2, extremes(False).replace("round(value, 6)", "value")),
@@ -217,3 +279,8 @@ SQL = {
     "replica_compare": f"WITH {USER} SELECT id::INT % 8 AS group_id, count(*) AS count_mine, nullif(count(*) FILTER (seq % 97 <> 0 OR id = '1'), 0) AS count_theirs FROM u GROUP BY ALL HAVING count(*) FILTER (seq % 97 = 0 AND id <> '1') > 0",
     "stream_rollup_1h": rolled(USER, "date_trunc('hour', time)"),
 }
+
+_CHOICE = f"""WITH {TYPE}, {SERIES}, {TREND}, x AS (SELECT *, value - avg(value) OVER (PARTITION BY id) AS d FROM s), y AS (SELECT *, lag(d, 24) OVER (PARTITION BY id ORDER BY i) AS e FROM x),
+c AS (SELECT id, sum(d * e) FILTER (i >= 24) / sum(d * d) FILTER (i >= 24) AS rho FROM y GROUP BY id)
+SELECT id, CASE WHEN n >= 48 AND rho > 0.5 THEN 'holt_winters' WHEN n >= 5 AND abs(r) > 0.5 THEN 'linear' WHEN n >= 20 THEN 'exponential' ELSE 'sma' END AS choice FROM t JOIN c USING (id)"""
+SQL["forecast_auto"] = " UNION ALL ".join(f"SELECT a.* REPLACE (algorithm || ' (auto-selected)' AS algorithm) FROM ({SQL[f'forecast_{m}']}) AS a JOIN ({_CHOICE}) AS c ON c.id = a.id AND c.choice = '{m}'" for m in ("holt_winters", "linear", "exponential", "sma"))
