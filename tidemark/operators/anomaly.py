@@ -70,7 +70,9 @@ def local_average(series: DataFrame, config: Config = Config()) -> DataFrame:
     x = x.withColumn("m", F.aggregate("near", F.lit(0.0), lambda a, v: a + v) / F.size("near"))
     x = x.withColumn("s", F.sqrt(F.aggregate("near", F.struct(F.lit(0.0).alias("q"), F.col("m").alias("m")), lambda a, v: F.struct((a["q"] + (v - a["m"]) * (v - a["m"])).alias("q"), a["m"].alias("m")))["q"] / F.size("near")))
     off = F.abs(F.col("value") - F.col("m"))
-    x = x.withColumn("d", F.when(F.col("s") > 0, off / F.col("s")).when(off != 0, config.threshold + 1).otherwise(0.0)).where(F.col("d") > config.threshold)
+    x = x.withColumn("d", F.when(F.col("s") > 0, off / F.col("s")).when(off != 0, config.threshold + 1).otherwise(0.0))
+    # a generator: a filter would be pushed below these columns and compute each of them again, many times over
+    x = x.select(*SERIES, "time", "value", F.inline(F.filter(F.array(F.struct("d", "m", "s")), lambda r: r["d"] > config.threshold)))
     reach = config.threshold * F.col("s")
     return _found(x, F.col("d"), F.when(F.col("value") > F.col("m"), "spike").otherwise("drop"), "moving_avg", F.col("m") - reach, F.col("m") + reach)
 
